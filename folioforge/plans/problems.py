@@ -1,0 +1,45 @@
+"""Queries of the general data-preparation problems (splitting, neighbours, near-duplicates)."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import neardup
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+
+
+def query(f: Query) -> Query:
+    QUERIES[f.__name__] = f
+    return f
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def setting(spark: SparkSession, sf_dir: str, name: str) -> int:
+    """One entry of the four-row settings table."""
+    return int(table(spark, sf_dir, "run_settings").filter(F.col("setting") == name).first()["amount"])
+
+
+def _wiki_near(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    docs = spark.read.parquet(f"{sf_dir}/wikidocs.parquet").filter("Id <> 0")
+    return neardup.near_duplicates(docs, "Id", "Doc", threshold=0.6, width=3, min_words=40)
+
+
+@query
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of records that share at least 0.6 of their distinct three-word runs."""
+    return neardup.expand_pairs(*_wiki_near(spark, sf_dir))
+
+
+@query
+def p6_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class and number of links of every record with 40 words or more."""
+    return neardup.group_members(*_wiki_near(spark, sf_dir))
