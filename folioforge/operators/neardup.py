@@ -129,7 +129,7 @@ def compare_run(node: np.ndarray, n: np.ndarray, f0: np.ndarray, f1: np.ndarray,
     pairs of different sides are compared.
     """
     order = np.argsort(n, kind="stable")
-    ns, a0, a1, names = n[order], f0[order], f1[order], node[order]
+    ns, a0, a1, names = n[order], f0[order].view(np.uint64), f1[order].view(np.uint64), node[order]
     sides = None if side is None else side[order]
     left: list[np.ndarray] = []
     right: list[np.ndarray] = []
@@ -164,6 +164,7 @@ def _pairs(threshold: float):
         return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
 
     def work(key, node, n, f0, f1, side) -> Iterator[pa.RecordBatch]:
+        f0, f1 = f0.view(np.uint64), f1.view(np.uint64)  # of signed numbers numpy counts the bits of the absolute value
         edge = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
         length = np.diff(np.concatenate((edge, [key.size])))
         out_a, out_b = [], []
