@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import neardup
+from ..operators import neardup, neighbours
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -43,3 +43,24 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p6_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class and number of links of every record with 40 words or more."""
     return neardup.group_members(*_wiki_near(spark, sf_dir))
+
+
+def _chunks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int, int]:
+    dim = int(spark.read.parquet(f"{sf_dir}/model_info.parquet").first()["dim"])
+    docs = spark.read.parquet(f"{sf_dir}/wikivecs.parquet").filter("Id <> 0")
+    return neighbours.chunk_vectors(docs, "Id", "Vec", dim), dim, setting(spark, sf_dir, "neighbours_k")
+
+
+@query
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of chunk vectors of which one is among the neighbours_k most similar of the other."""
+    vectors, dim, k = _chunks(spark, sf_dir)
+    return neighbours.neighbour_pairs(neighbours.nearest_neighbours(vectors, dim, k))
+
+
+@query
+def p5_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact neighbours of the vectors of every id divisible by 20, against all rows."""
+    vectors, dim, k = _chunks(spark, sf_dir)
+    vectors = neighbours.materialize(vectors)
+    return neighbours.exact_neighbours(vectors.filter("id % 20 = 0"), vectors, dim, k)
