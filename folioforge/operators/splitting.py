@@ -1,0 +1,246 @@
+"""Cutting oversized items at natural boundaries, range by range.
+
+An item (a text column's value or a whole file) is seen as byte ranges of
+``range_bytes``.  Every range is read with a halo on both sides, so that a
+boundary at a seam is judged on its surroundings; the range that owns the first
+byte of the next unit owns the boundary.
+
+1. *detect* (parallel over ranges): boundaries with their strength, places in
+   characters from the range's start, and the range's character count;
+2. *stitch*: ranges of an item in order, running sums of the counts turn places
+   into places in the item;
+3. *plan*: a pass over the boundary table alone cuts each piece at the last of
+   the strongest boundaries that keeps it within the limit;
+4. *emit*: every range gives its share of each piece by offset and the shares
+   are joined; no task ever holds a whole file.
+"""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .tables import materialize
+
+HALO = 512
+SECTION, PARAGRAPH, SENTENCE, BLANK = 4, 3, 2, 1
+_BREAK = r"(?:\r\n|[\n\r\x0b\x0c\x85\u2028\u2029])"
+_PARA = re.compile(rf"{_BREAK}(?:[ \t]*{_BREAK})+[ \t]*(?=\S)|[\u2029][ \t]*(?=\S)")
+_LINE = re.compile(rf"{_BREAK}+[ \t]*(?=\S)")
+_HEAD = re.compile(rf"[^\n\r\u2028\u2029.!?;:,]{{1,80}}{_BREAK}(?:[ \t]*{_BREAK})*[ \t]*\S|=+[^\n=]+=+[ \t]*(?:\n|$)")
+_SENT = re.compile(r"(?:[.!?।؟۔…]+[\"'”’»)\]]*(?=\s)\s+|[。！？][”』」）]*\s*)(?=\S)")
+_GAP = re.compile(r"\s+(?=\S)")
+
+
+def boundaries(text: str, lo: int, hi: int) -> tuple[list[int], list[int]]:
+    """Places ``lo <= p < hi`` in ``text`` where a new unit begins, with strengths.
+
+    Section: a heading set off by a break; paragraph: after a blank line;
+    sentence: after an end mark or a line break; blank: between words, kept
+    only where no other boundary lies within 120 characters.
+    """
+    best: dict[int, int] = {}
+    for m in _SENT.finditer(text):
+        best[m.end()] = SENTENCE
+    for m in _LINE.finditer(text):
+        best[m.end()] = SENTENCE
+    for m in _PARA.finditer(text):
+        p = m.end()
+        best[p] = SECTION if _HEAD.match(text, p) else PARAGRAPH
+    places = sorted(p for p in best if lo <= p < hi)
+    out_p, out_s = [], []
+    last = lo
+    for p in [*places, hi]:
+        if p - last > 120:
+            step = last
+            for m in _GAP.finditer(text, last, p):
+                if m.end() - step >= 40 and m.end() < p:
+                    out_p.append(m.end())
+                    out_s.append(BLANK)
+                    step = m.end()
+        if p < hi:
+            out_p.append(p)
+            out_s.append(best[p])
+        last = p
+    return out_p, out_s
+
+
+def _aligned(data: bytes, at: int) -> int:
+    """The first place from ``at`` on that is not inside a UTF-8 character."""
+    while at < len(data) and data[at] & 0xC0 == 0x80:
+        at += 1
+    return at
+
+
+def _detect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(item, range_no, left, body, data) -> (item, range_no, n_chars, places, strengths, text)."""
+    for batch in batches:
+        n, p, s, t = [], [], [], []
+        for left, body, value in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4)):
+            data = value.as_py()
+            a, b = _aligned(data, left), _aligned(data, left + body)
+            before, own, after = (data[_aligned(data, 0) : a].decode("utf-8", "replace"), data[a:b].decode("utf-8", "replace"), data[b:].decode("utf-8", "ignore"))
+            places, strengths = boundaries(before + own + after, len(before), len(before) + len(own))
+            n.append(len(own))
+            p.append(np.array(places, np.int32) - len(before))
+            s.append(np.array(strengths, np.int8))
+            t.append(own)
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), batch.column(1), pa.array(n, pa.int32()), pa.array(p, pa.list_(pa.int32())), pa.array(s, pa.list_(pa.int8())), pa.array(t, pa.string())],
+            ["item", "range_no", "n_chars", "places", "strengths", "text"],
+        )
+
+
+DETECTED = "item long, range_no int, n_chars int, places array<int>, strengths array<byte>, text string"
+
+
+def text_ranges(items: DataFrame, range_bytes: int = 1 << 16) -> DataFrame:
+    """Byte ranges with halos of ``(item, text)``; built-in functions only."""
+    raw = items.select("item", F.col("text").cast("binary").alias("raw")).withColumn("size", F.octet_length("raw"))
+    cut = raw.select("item", "raw", "size", F.posexplode(F.expr(f"sequence(0, greatest(size - 1, 0), {range_bytes})")).alias("range_no", "start"))
+    left = F.least("start", F.lit(HALO))
+    body = F.least(F.col("size") - F.col("start"), F.lit(range_bytes))
+    return cut.select("item", "range_no", left.alias("left"), body.alias("body"), F.expr(f"substring(raw, start - least(start, {HALO}) + 1, least(start, {HALO}) + {range_bytes + HALO})").alias("data"))
+
+
+def file_ranges(spark: SparkSession, paths: list[str], range_bytes: int = 1 << 26) -> DataFrame:
+    """Byte ranges with halos of whole files; workers seek, nobody reads a file whole."""
+    from pyarrow import fs
+
+    rows = []
+    for item, path in enumerate(paths):
+        system, name = fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
+        size = system.get_file_info(name).size
+        rows += [(item, no, path, start, min(range_bytes, size - start)) for no, start in enumerate(range(0, max(size, 1), range_bytes))]
+    plan = spark.createDataFrame(rows, "item long, range_no int, path string, start long, body int")
+
+    def read(batches):
+        for batch in batches:
+            left, data = [], []
+            for path, start, body in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4))):
+                system, name = fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
+                with system.open_input_file(name) as f:
+                    halo = min(start, HALO)
+                    f.seek(start - halo)
+                    data.append(f.read(halo + body + HALO))
+                    left.append(halo)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(left, pa.int32()), batch.column(4), pa.array(data, pa.binary())], ["item", "range_no", "left", "body", "data"])
+
+    return plan.repartition(max(1, len(rows)), "item", "range_no").mapInArrow(read, "item long, range_no int, left int, body int, data binary")
+
+
+class _Planner:
+    """Piece ends of one item from its boundary table, fed range by range."""
+
+    def __init__(self, limit: int, overlap: int) -> None:
+        self.limit, self.overlap = limit, overlap
+        self.start, self.pieces = 0, []
+        self.p, self.s, self.total = [], [], 0
+
+    def feed(self, base: int, n_chars: int, places: np.ndarray, strengths: np.ndarray, last: bool) -> list[tuple[int, int]]:
+        """Pieces that are settled once the text up to ``base + n_chars`` is known."""
+        self.p += (places + base).tolist()
+        self.s += strengths.tolist()
+        self.total = base + n_chars
+        out = []
+        while self.total - self.start > self.limit:
+            out.append(self._cut())
+        if last and self.total > self.start:
+            out.append((self.start, self.total))
+        return out
+
+    def _cut(self) -> tuple[int, int]:
+        start, far = self.start, self.start + self.limit
+        lo, hi = np.searchsorted(self.p, start + 1), np.searchsorted(self.p, far, side="right")
+        end = far
+        # a strong boundary counts from half the limit on, weaker ones from three quarters on, then any
+        for strength, least in ((SECTION, 0.5), (PARAGRAPH, 0.5), (SENTENCE, 0.5), (SENTENCE, 0.0), (BLANK, 0.0)):
+            fit = [p for p, s in zip(self.p[lo:hi], self.s[lo:hi]) if s >= strength and p - start >= max(1, least * self.limit)]
+            if fit:
+                end = fit[-1]
+                break
+        # the next piece starts at the first boundary within the overlap
+        back = [p for p, s in zip(self.p[lo:hi], self.s[lo:hi]) if end - self.overlap <= p < end and p > start and s >= SENTENCE]
+        self.start = back[0] if back else end
+        drop = np.searchsorted(self.p, self.start)
+        del self.p[:drop], self.s[:drop]
+        return start, end
+
+
+def _plan(limit: int, overlap: int):
+    """Sorted ranges of whole items -> the share of every piece in every range."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        item, planner, spans, no, base = None, None, [], 0, 0
+        out: list[tuple] = []
+
+        def shares(pieces):
+            nonlocal no
+            for a, b in pieces:
+                for r, s, e in spans:
+                    if s < b and e > a:
+                        out.append((item, no, r, max(a, s) - s, min(b, e) - s, a, b))
+                no += 1
+
+        def flush():
+            rows = list(zip(*out))
+            out.clear()
+            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds)], ["item", "piece_no", "range_no", "from_char", "to_char", "start_at", "end_at"])
+
+        for batch in batches:
+            for it, r, n, p, s in zip(*(batch.column(k) for k in range(5))):
+                it, r, n = it.as_py(), r.as_py(), n.as_py()
+                if it != item:
+                    if planner is not None:
+                        shares(planner.feed(base, 0, np.empty(0, int), np.empty(0, int), True))
+                    item, planner, spans, no, base = it, _Planner(limit, overlap), [], 0, 0
+                spans.append((r, base, base + n))
+                shares(planner.feed(base, n, np.array(p.as_py(), int), np.array(s.as_py(), int), False))
+                base += n
+                spans = [x for x in spans if x[2] > planner.start]
+            if len(out) >= 10_000:
+                yield flush()
+        if planner is not None:
+            shares(planner.feed(base, 0, np.empty(0, int), np.empty(0, int), True))
+        if out:
+            yield flush()
+
+    return run
+
+
+def split_ranges(ranges: DataFrame, limit: int, overlap: int) -> DataFrame:
+    """Pieces ``(item, piece_no, start_at, end_at, piece)`` of ranges from :func:`text_ranges` or :func:`file_ranges`."""
+    if not 0 <= overlap < limit:
+        raise ValueError("overlap must lie between 0 and limit")
+    found = materialize(ranges.mapInArrow(_detect, DETECTED))
+    table = found.select("item", "range_no", "n_chars", "places", "strengths").repartition("item").sortWithinPartitions("item", "range_no")
+    shares = table.mapInArrow(_plan(limit, overlap), "item long, piece_no int, range_no int, from_char int, to_char int, start_at long, end_at long")
+    parts = shares.join(found.select("item", "range_no", "text"), ["item", "range_no"]).select("item", "piece_no", "start_at", "end_at", "range_no", F.expr("substring(text, from_char + 1, to_char - from_char)").alias("t"))
+    # a piece is within the limit, so its shares are few and small
+    return parts.groupBy("item", "piece_no", "start_at", "end_at").agg(F.array_sort(F.collect_list(F.struct("range_no", "t"))).alias("p")).select("item", "piece_no", "start_at", "end_at", F.expr("array_join(transform(p, x -> x.t), '')").alias("piece"))
+
+
+def split_texts(docs: DataFrame, id_col: str, text_col: str, limit: int, overlap: int, range_bytes: int = 1 << 16) -> DataFrame:
+    """Pieces ``(id, piece_no, start_at, end_at, piece)`` of every text longer than ``limit`` characters.
+
+    Pieces hold at most ``limit`` characters, follow each other without gaps,
+    overlap by at most ``overlap`` characters and give the text back when the
+    overlaps are dropped.  Texts within the limit, null and empty texts give no
+    rows; repeated rows of an id and text give one set of pieces; an id with
+    several long texts has the pieces of each; other columns are ignored.
+    """
+    long = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter((F.char_length("text") > limit) & F.col("id").isNotNull())
+    long = long.withColumn("item", F.xxhash64("id", "text")).dropDuplicates(["item"])
+    pieces = split_ranges(text_ranges(long, range_bytes), limit, overlap)
+    return pieces.join(long.select("item", "id"), "item").select("id", "piece_no", "start_at", "end_at", "piece")
+
+
+def split_files(spark: SparkSession, paths: list[str], limit: int, overlap: int, range_bytes: int = 1 << 26) -> DataFrame:
+    """Pieces of whole UTF-8 files; ``item`` is the place in ``paths``.  Invalid bytes become U+FFFD."""
+    return split_ranges(file_ranges(spark, paths, range_bytes), limit, overlap)

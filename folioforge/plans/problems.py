@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import neardup, neighbours
+from ..operators import neardup, neighbours, splitting
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -28,6 +28,23 @@ def setting(spark: SparkSession, sf_dir: str, name: str) -> int:
     return int(table(spark, sf_dir, "run_settings").filter(F.col("setting") == name).first()["amount"])
 
 
+def _pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/wikivecs.parquet").filter("Id <> 0")
+    return splitting.split_texts(docs, "Id", "Doc", setting(spark, sf_dir, "chunk_max_chars"), setting(spark, sf_dir, "chunk_overlap_chars"))
+
+
+@query
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records that had to be cut."""
+    return _pieces(spark, sf_dir).filter("piece_no = 1").select("id").distinct()
+
+
+@query
+def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pieces of all oversized records."""
+    return _pieces(spark, sf_dir)
+
+
 def _wiki_near(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     docs = spark.read.parquet(f"{sf_dir}/wikidocs.parquet").filter("Id <> 0")
     return neardup.near_duplicates(docs, "Id", "Doc", threshold=0.6, width=3, min_words=40)
