@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import mixing, packing, residue
 from . import sentences as sent
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,3 +37,76 @@ def p9_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentences of every document with their places."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return sent.sentences(docs, "doc_id", "text").withColumnRenamed("id", "doc_id")
+
+
+def _residue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/wikidocs.parquet").filter("Id <> 0")
+    return residue.residue_documents(docs, "Id", "Doc")
+
+
+@query
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records with residue in place of content."""
+    return _residue(spark, sf_dir).select("id")
+
+
+@query
+def p3_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Residue units of each record, and how many of them a pattern matched itself."""
+    return _residue(spark, sf_dir)
+
+
+def _packed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
+    capacity = setting(spark, sf_dir, "pack_capacity_tokens")
+    return packing.pack_texts(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text", capacity), capacity
+
+
+@query
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that had to be split because they alone exceed a container."""
+    return _packed(spark, sf_dir)[0].filter("n_pieces > 1").select(F.col("id").alias("doc_id")).distinct()
+
+
+@query
+def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Container of every text and piece."""
+    return _packed(spark, sf_dir)[0].withColumnRenamed("id", "doc_id")
+
+
+@query
+def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers used, fewest possible, unused share."""
+    return packing.fill_report(*_packed(spark, sf_dir))
+
+
+def _mixture(spark: SparkSession, sf_dir: str) -> mixing.Mixture:
+    return mixing.mix_sources(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/mix_targets.parquet"))
+
+
+@query
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Listed sources whose mixture stays below their share for want of documents."""
+    return _mixture(spark, sf_dir).shares().filter("not reachable").select("source")
+
+
+@query
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shares reached by each listed source."""
+    return _mixture(spark, sf_dir).shares()
+
+
+@query
+def p8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Copies of documents in the mixture, in mixing order."""
+    return _mixture(spark, sf_dir).documents().withColumnRenamed("id", "doc_id")
+
+
+SQL["p7_found"] = """
+SELECT doc_id FROM documents
+WHERE text <> '' AND octet_length(encode(text)) + 1 > (SELECT amount FROM run_settings WHERE setting = 'pack_capacity_tokens')"""
+
+SQL["p8_found"] = r"""
+WITH d AS (SELECT regexp_replace(lower(regexp_replace(source, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')), '[\s\p{Z}_-]+', '_', 'g') AS k,
+                  CASE WHEN text <> '' THEN octet_length(encode(text)) + 1 ELSE 0 END AS n FROM documents),
+s AS (SELECT m.source, m.weight, m.max_repeat, coalesce(sum(d.n), 0) AS size FROM mix_targets m LEFT JOIN d ON d.k = m.source GROUP BY ALL)
+SELECT source FROM s WHERE weight * (SELECT sum(size) FROM s) > max_repeat * size""".replace("\\", "\")
