@@ -109,4 +109,4 @@ SQL["p8_found"] = r"""
 WITH d AS (SELECT regexp_replace(lower(regexp_replace(source, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')), '[\s\p{Z}_-]+', '_', 'g') AS k,
                   CASE WHEN text <> '' THEN octet_length(encode(text)) + 1 ELSE 0 END AS n FROM documents),
 s AS (SELECT m.source, m.weight, m.max_repeat, coalesce(sum(d.n), 0) AS size FROM mix_targets m LEFT JOIN d ON d.k = m.source GROUP BY ALL)
-SELECT source FROM s WHERE weight * (SELECT sum(size) FROM s) > max_repeat * size""".replace("\\", "\")
+SELECT source FROM s WHERE weight * (SELECT sum(size) FROM s) > max_repeat * size"""
