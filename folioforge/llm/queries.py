@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, residue
+from . import mixing, packing, quality, residue
 from . import sentences as sent
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,6 +39,30 @@ def p9_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sent.sentences(docs, "doc_id", "text").withColumnRenamed("id", "doc_id")
 
 
+def _wikidocs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/wikidocs.parquet").filter("Id <> 0")
+
+
+@query
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of which most is not running prose, with their kind; residue records are never cases."""
+    types, _ = quality.text_types(_wikidocs(spark, sf_dir), "Id", "Doc")
+    per_id = types.groupBy("id").agg(F.min("kind").alias("kind"), F.bool_or("residue").alias("residue"), F.bool_or(F.col("kind") == "prose").alias("prose"))
+    return per_id.filter("not residue and not prose").select("id", "kind")
+
+
+@query
+def p2_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Word, line and symbol statistics of every record."""
+    return quality.statistics(_wikidocs(spark, sf_dir), "Id", "Doc").drop("pattern", "residue")
+
+
+@query
+def p2_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learnt firing rates of the labelling functions on each type."""
+    return quality.text_types(_wikidocs(spark, sf_dir), "Id", "Doc")[1]
+
+
 def _residue(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/wikidocs.parquet").filter("Id <> 0")
     return residue.residue_documents(docs, "Id", "Doc")
