@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import mixing, packing, quality, residue
 from . import sentences as sent
+from . import subjects
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -43,6 +44,26 @@ def _wikidocs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/wikidocs.parquet").filter("Id <> 0")
 
 
+def _subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = [r["subject"] for r in spark.read.parquet(f"{sf_dir}/subjects.parquet").orderBy("subject").collect()]  # a fixed dozen
+    labels = spark.read.parquet(f"{sf_dir}/subject_labels.parquet")
+    return subjects.assign(_wikidocs(spark, sf_dir), labels, names, "Id", "Doc", "Title")
+
+
+@query
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Subjects of every record."""
+    return _subjects(spark, sf_dir)
+
+
+@query
+def p1_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of each subject, and those that have it alone."""
+    found = _subjects(spark, sf_dir)
+    alone = found.groupBy("id").agg(F.count("*").alias("n"), F.min("subject").alias("subject")).filter("n = 1").groupBy("subject").agg(F.count("*").alias("alone"))
+    return found.groupBy("subject").agg(F.count("*").alias("records")).join(alone, "subject", "left").fillna(0, ["alone"])
+
+
 @query
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records of which most is not running prose, with their kind; residue records are never cases."""
