@@ -64,6 +64,10 @@ def term_score(tf: Column, df: Column, n: Column, dl: Column, avgdl: Column, fir
     return idf * gain * (1 + lead_bias / 1000.0 / (1 + first_pos / 50.0))
 
 
+def _occurrences(word: str) -> Column:
+    return F.size(F.filter("toks", lambda t: t == F.lit(word)))
+
+
 def matches(docs: DataFrame, id_col: str, text_col: str, query: Query, options: SearchOptions = SearchOptions()) -> DataFrame:
     """Every matching document with its score: ``(doc_id, score)``, score > 0.
 
@@ -74,10 +78,8 @@ def matches(docs: DataFrame, id_col: str, text_col: str, query: Query, options:
     spark = docs.sparkSession
     if not query.words:
         return spark.createDataFrame([], "doc_id long, score double")
-    words = F.array(*map(F.lit, query.words))
     toks = docs.select(F.col(id_col).alias("doc_id"), T.tokens(F.col(text_col)).alias("toks")).filter("toks is not null")
-    found = toks.select("doc_id", F.size("toks").alias("dl"), *[F.size(F.filter("toks", lambda t, w=w: t == w)).alias(f"tf{i}") for i, w in enumerate(query.words)], *[(F.array_position("toks", F.lit(w)) - 1).alias(f"p{i}") for i, w in enumerate(query.words)])
-    del words
+    found = toks.select("doc_id", F.size("toks").alias("dl"), *[_occurrences(w).alias(f"tf{i}") for i, w in enumerate(query.words)], *[(F.array_position("toks", F.lit(w)) - 1).alias(f"p{i}") for i, w in enumerate(query.words)])
     figures = found.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(query.words))]).first()
     if not figures["n"] or not figures["avgdl"]:
         return spark.createDataFrame([], "doc_id long, score double")
