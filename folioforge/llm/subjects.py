@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.tables import pick
 from .quality import text_statistics
 from .residue import _NAME, _NUMBER, _UNITS_OF, _unit_tables, is_residue, unit_features
 
@@ -33,11 +34,22 @@ _SUSPECT = re.compile("[ÃÂÐ\ufffd\x00-\x08\xad\u200b]")
 
 
 def _sentences(texts: list[str], tables) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word hashes (numbers and names left out), sentence of each word, text of each sentence."""
-    f = unit_features(texts, tables, SEPARATORS, hashes=False)
-    sentence = np.repeat(np.arange(f["n"].size), f["n"])
-    keep = (f["words"] != _NUMBER) & (f["words"] != _NAME)
-    return f["words"][keep], sentence[keep], f["owner"]
+    """Word hashes (numbers and names left out), sentence of each word, text of each sentence; in blocks of texts."""
+    words, sentences, owners, before = [], [], [], 0
+    for lo in range(0, len(texts), 128):
+        part = texts[lo : lo + 128]
+        if not any(_has_word(t) for t in part):
+            continue
+        f = unit_features(part, tables, SEPARATORS, hashes=False)
+        sentence = np.repeat(np.arange(f["n"].size, dtype=np.int32), f["n"])
+        keep = (f["words"] != _NUMBER) & (f["words"] != _NAME)
+        words.append(f["words"][keep])
+        sentences.append(sentence[keep] + np.int32(before))
+        owners.append((f["owner"] + lo).astype(np.int32))
+        before += f["n"].size
+    if not words:
+        return np.empty(0, np.uint64), np.empty(0, np.int32), np.empty(0, np.int32)
+    return np.concatenate(words), np.concatenate(sentences), np.concatenate(owners)
 
 
 @dataclass
@@ -66,28 +78,29 @@ def fit_terms(words: np.ndarray, sentence: np.ndarray, owner: np.ndarray, labels
     """EM on sentences; ``labels`` is documents x subjects (0/1)."""
     k = labels.shape[1]
     vocab, at, count = np.unique(words, return_inverse=True, return_counts=True)
+    at = at.astype(np.int32)
     use = count >= 2
     prior = np.full((len(labels), k + 1), 0.02)
     n = np.maximum(labels.sum(axis=1, keepdims=True), 1)
     prior[:, :k] += 0.55 * labels / n
     prior[:, k] = 0.35
     prior /= prior.sum(axis=1, keepdims=True)
-    log_prior = np.log(prior[owner])
+    log_prior = np.log(prior)
     first = np.flatnonzero(np.concatenate(([True], sentence[1:] != sentence[:-1])))
     base = count / count.sum()
-    # start: words by the labels of their documents
-    post = prior[owner].copy()
-    log = None
+    # start: words by the labels of their documents; one subject at a time keeps the working set small
+    post = prior[owner]
+    log = np.empty((vocab.size, k + 1))
     for _ in range(rounds):
-        w = post[sentence]
-        like = np.stack([np.bincount(at, weights=w[:, c], minlength=vocab.size) for c in range(k + 1)], axis=1)
-        like += 2.0 * base[:, None] * vocab.size ** 0.5 + 0.05 * base[:, None] / base.mean()
-        like /= like.sum(axis=0, keepdims=True)
-        log = np.log(like)
-        score = log_prior.copy()
-        score[sentence[first]] += np.add.reduceat(log[at], first, axis=0)
-        score -= score.max(axis=1, keepdims=True)
-        post = np.exp(score)
+        for c in range(k + 1):
+            like = np.bincount(at, weights=post[:, c][sentence], minlength=vocab.size)
+            like += 2.0 * base * vocab.size**0.5 + 0.05 * base / base.mean()
+            log[:, c] = np.log(like / like.sum())
+        for c in range(k + 1):
+            post[:, c] = log_prior[owner, c]
+            post[sentence[first], c] += np.add.reduceat(log[:, c][at], first)
+        post -= post.max(axis=1, keepdims=True)
+        np.exp(post, out=post)
         post /= post.sum(axis=1, keepdims=True)
     share = post.mean(axis=0)
     flat = np.concatenate((np.full(k, share[:k].sum() / k), share[k:]))
@@ -234,9 +247,9 @@ def assign(docs: DataFrame, labels: DataFrame, subjects: list[str], id_col: str,
     """
     spark = docs.sparkSession
     schema = "id long, subject string"
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.coalesce(F.col(title_col), F.lit("")).alias("title"))
+    rows = pick(docs, id=id_col, text=text_col, title=title_col).withColumn("title", F.coalesce("title", F.lit("")))
     rows = rows.filter(F.col("id").isNotNull() & F.col("text").rlike(r"[\p{L}\p{N}]"))
-    wanted = labels.select(F.col("id").cast("long").alias("id"), "subject").filter(F.col("subject").isin(subjects)).groupBy("id").agg(F.collect_set("subject").alias("labels"))
+    wanted = pick(labels, id="id", subject="subject").filter(F.col("subject").isin(subjects)).groupBy("id").agg(F.collect_set("subject").alias("labels"))
     wanted = wanted.orderBy(F.xxhash64("id"), "id").limit(max_labelled)
     sample = rows.join(wanted, "id").dropDuplicates(["id"]).orderBy("id").toArrow()
     texts = [_usable(t) for t in sample.column("text").to_pylist()]
