@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.tables import materialize
+from ..operators.tables import materialize, pick
 from .packing import byte_tokens
 
 SLICE_ROWS = 50_000
@@ -30,8 +30,8 @@ class Mixture:
     """Sizes and the end of the budget, from one row for each listed source (a bounded table)."""
 
     def __init__(self, docs: DataFrame, targets: DataFrame, id_col: str, text_col: str, source_col: str, budget: int | None = None) -> None:
-        named = targets.select(F.col("source").alias("name"), source_key("source").alias("k"), "weight", "max_repeat")
-        items = docs.select(F.col(id_col).cast("long").alias("id"), source_key(source_col).alias("k"), byte_tokens(text_col).alias("n_tokens"))
+        named = pick(targets, name="source", weight="weight", max_repeat="max_repeat").select("name", source_key("name").alias("k"), "weight", "max_repeat")
+        items = pick(docs, id=id_col, source=source_col, text=text_col).select("id", source_key("source").alias("k"), byte_tokens("text").alias("n_tokens"))
         items = items.filter("id is not null and n_tokens > 0").join(F.broadcast(named.select("k")) if targets.limit(1001).count() <= 1000 else named.select("k"), "k", "left_semi")
         self.items = materialize(items.dropDuplicates(["id"]))
         sizes = self.items.groupBy("k").agg(F.sum("n_tokens").alias("size"), F.count("*").alias("docs"))

@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.tables import pick
+
 
 def byte_tokens(text: str) -> Column:
     """Tokens of the byte-level tokenizer: one a UTF-8 byte and an end token; 0 for null and empty texts."""
@@ -119,7 +121,7 @@ def pack_texts(docs: DataFrame, id_col: str, text_col: str, capacity: int, group
     """
     if capacity < 4:
         raise ValueError("capacity must hold a character")
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("id is not null and text is not null and text <> ''").withColumn("n_tokens", byte_tokens("text"))
+    rows = pick(docs, id=id_col, text=text_col).filter("id is not null and text is not null and text <> ''").withColumn("n_tokens", byte_tokens("text"))
     small = rows.filter(F.col("n_tokens") <= capacity).select("id", F.lit(0).alias("piece_no"), F.lit(0).cast("long").alias("start_byte"), "n_tokens")
     large = rows.filter(F.col("n_tokens") > capacity).select("id", F.col("text").cast("binary").alias("raw")).mapInArrow(_pieces(capacity), "id long, piece_no int, start_byte long, n_tokens long")
     items = small.union(large).dropDuplicates(["id", "piece_no"])

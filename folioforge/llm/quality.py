@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.tables import materialize, pick
 from .residue import is_residue
 
 TYPES = ["prose", "list", "table", "junk"]
@@ -216,7 +217,7 @@ def statistics(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     Null, empty and blank texts and null ids are left out; repeated rows give
     repeated rows; other columns are ignored; texts are read whole.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter(F.col("id").isNotNull() & F.col("text").rlike(r"[^\s\p{Z}]"))
+    rows = pick(docs, id=id_col, text=text_col).filter(F.col("id").isNotNull() & F.col("text").rlike(r"[^\s\p{Z}]"))
     return rows.mapInArrow(_measure, "id long, " + ", ".join(f"{k} double" for k in STATS) + ", pattern int, residue boolean")
 
 
@@ -250,8 +251,6 @@ def text_types(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame,
     to the earlier of prose, list, table, junk.  Rates ``(rule, votes_for,
     prose, list, table, junk)``.  An empty table gives empty types.
     """
-    from ..operators.tables import materialize
-
     spark = docs.sparkSession
     stats = materialize(statistics(docs, id_col, text_col).select("id", "pattern", "residue"))
     table = stats.groupBy("pattern").count().collect()  # at most 2^len(RULES) rows

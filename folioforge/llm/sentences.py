@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.tables import pick
+
 # Abbreviations that something always follows: titles, references, measures before a number.
 ALWAYS = """Mr Mrs Ms Dr Prof St Gen Col Capt Rev Hon Sen Gov Lt Sgt vs viz cf ca e.g i.e approx al
 Hr Fr Ing bzw z.B d.h u.a o.ä evtl vgl sog inkl geb
@@ -255,5 +257,5 @@ def sentences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     empty and blank texts give no rows, repeated rows give repeated sentences,
     rows with a null id are left out, other columns are ignored.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("id is not null and text is not null and text <> ''")
+    rows = pick(docs, id=id_col, text=text_col).filter("id is not null and text is not null and text <> ''")
     return rows.mapInArrow(_run, "id long, sentence_no int, start_at long, end_at long, sentence string")
