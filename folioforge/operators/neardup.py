@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from ..functions.words import mix64, shingle_sets
 from .components import connected_components
-from .tables import materialize, rows_at_most
+from .tables import materialize, pick, rows_at_most
 
 BITS = 128
 BROADCAST_ROWS = 8_192
@@ -112,7 +112,7 @@ def sketch_texts(docs: DataFrame, id_col: str, text_col: str, width: int = 3, mi
     """
     if bands * rows > BITS:
         raise ValueError("bands * rows may not exceed 128")
-    rows_in = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("id is not null and text is not null and text <> ''")
+    rows_in = pick(docs, id=id_col, text=text_col).filter("id is not null and text is not null and text <> ''")
     return rows_in.mapInArrow(_sketches(width, min_words, bands, rows), SKETCH)
 
 
@@ -276,7 +276,7 @@ def near_duplicates(docs: DataFrame, id_col: str, text_col: str, threshold: floa
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
     # one text of each node in question
     holders = sketches.filter("size(keys) > 0").join(wanted, "node").groupBy("node").agg(F.min("id").alias("id"))
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("id is not null and text is not null and text <> ''")
+    texts = pick(docs, id=id_col, text=text_col).filter("id is not null and text is not null and text <> ''")
     held = texts.join(holders, "id").select("node", "text", "id")
     # an id may carry other texts too: keep the one whose sketch gave the node
     sets = materialize(_sets_of(held, width, min_words, bands, rows))

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tables import materialize
+from .tables import materialize, pick
 
 WORDS = 16
 
@@ -176,7 +176,7 @@ def chunk_vectors(docs: DataFrame, id_col: str, vec_col: str, dim: int) -> DataF
             packed = [h.tobytes() if f else v.tobytes() for h, v, f in zip(half, x, exact)]
             yield pa.RecordBatch.from_arrays([ids.take(pa.array(row[at])), pa.array(chunk[at].astype(np.int32)), pa.array(packed, pa.binary())], ["id", "chunk", "v"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec")).filter("id is not null and vec is not null")
+    rows = pick(docs, id=id_col, vec=vec_col).filter("id is not null and vec is not null")
     return rows.mapInArrow(run, "id long, chunk int, v binary").dropDuplicates(["id", "chunk"])
 
 

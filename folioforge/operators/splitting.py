@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tables import materialize
+from .tables import materialize, pick
 
 HALO = 512
 SECTION, PARAGRAPH, SENTENCE, BLANK = 4, 3, 2, 1
@@ -235,7 +235,7 @@ def split_texts(docs: DataFrame, id_col: str, text_col: str, limit: int, overlap
     rows; repeated rows of an id and text give one set of pieces; an id with
     several long texts has the pieces of each; other columns are ignored.
     """
-    long = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter((F.char_length("text") > limit) & F.col("id").isNotNull())
+    long = pick(docs, id=id_col, text=text_col).filter((F.char_length("text") > limit) & F.col("id").isNotNull())
     long = long.withColumn("item", F.xxhash64("id", "text")).dropDuplicates(["item"])
     pieces = split_ranges(text_ranges(long, range_bytes), limit, overlap)
     return pieces.join(long.select("item", "id"), "item").select("id", "piece_no", "start_at", "end_at", "piece")

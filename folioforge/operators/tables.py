@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _own: str | None = None
 
@@ -48,3 +49,17 @@ def materialize(df: DataFrame) -> DataFrame:
 def rows_at_most(df: DataFrame, bound: int) -> bool:
     """Whether ``df`` has at most ``bound`` rows; reads no more than ``bound + 1``."""
     return df.limit(bound + 1).count() <= bound
+
+
+def pick(df: DataFrame, **names: str) -> DataFrame:
+    """Columns of ``df`` under new names, found by exact name and place; ``id`` as a long.
+
+    Whatever else the table holds, also names that differ only in case or clash
+    with names used inside, does not matter.
+    """
+    places = {c: i for i, c in reversed(list(enumerate(df.columns)))}
+    missing = [n for n in names.values() if n not in places]
+    if missing:
+        raise ValueError(f"no column {', '.join(missing)} among {df.columns}")
+    plain = df.toDF(*(f"_{i}" for i in range(len(df.columns))))
+    return plain.select(*(F.col(f"_{places[old]}").cast("long").alias(new) if new == "id" else F.col(f"_{places[old]}").alias(new) for new, old in names.items()))
