@@ -47,6 +47,7 @@ _PARA = re.compile(r"(?:\r\n|[\n\r\x0b\x0c\x85\u2028])(?:[^\S\n\r\x0b\x0c\x85\u2
 _MARK = re.compile(r"[.!?…。！？।॥؟۔｡;\u037e]+|[“”„«»‹›「」『』()\[\]（）【】《》‘’\"{}]|[^\S\n\r\x0b\x0c\x85\u2028]+(?=[฀-๿])|(?<=[฀-๿\d”\"»)])[^\S\n\r\x0b\x0c\x85\u2028]+")
 _BLANK = re.compile(r"\s*")
 _WORD = re.compile(r"(?:[^\W\d_][\wऀ-ॣ฀-๿’'²³-]*\.[^\S\n]?)*[^\W_][\wऀ-ॣ’'²³°-]*$|n°$")
+_FIRM = re.compile(r"(?:Ltd|Inc|Corp|Co|Jr|Sr|Bros|LLC|GmbH|KG|AG|S\.A)\b")
 _LIST = re.compile(r"\s*(?:\(?\d{1,3}|[a-zA-Z]|[ivxIVX]{1,4})$")
 
 
@@ -145,10 +146,10 @@ def _ends(text: str, at: int, end: int, start: int, hi: int) -> bool:
     word = text[max(start, at - 24) : at]
     last = word[-1:] if word else ""
     if glued:
-        solid = last.isdigit() or last in "²³)”»" or (len(word) > 2 and word[-3:].isalpha())
+        solid = last.isdigit() or last in "²³)”»" or (len(word) > 1 and word[-2:].isalpha() and last.islower())
         return solid and (c in OPEN or c == '"' or (c.isupper() and not text[nxt + 1 : nxt + 2] == "."))
     if kind == "final":
-        return not c.isdigit()
+        return not c.isdigit() and not _FIRM.match(text, nxt, hi)
     if last.isalpha() and last.upper() != last.lower() and (len(word) == 1 or not (word[-2].isalnum())):
         # initials and "z. B.": after one letter a capital goes on; after several (U.K.) it may begin a sentence
         dotted = word[-2:-1] == "." and word[-3:-2].isupper()
