@@ -29,6 +29,7 @@ from .quality import text_statistics
 from .residue import _NAME, _NUMBER, _UNITS_OF, _unit_tables, is_residue, unit_features
 
 BEAM = 6
+SHRINK = 4.0
 SEPARATORS = ";·•|\t"
 _SUSPECT = re.compile("[ÃÂÐ\ufffd\x00-\x08\xad\u200b]")
 
@@ -87,14 +88,14 @@ def fit_terms(words: np.ndarray, sentence: np.ndarray, owner: np.ndarray, labels
     prior /= prior.sum(axis=1, keepdims=True)
     log_prior = np.log(prior)
     first = np.flatnonzero(np.concatenate(([True], sentence[1:] != sentence[:-1])))
-    base = count / count.sum()
     # start: words by the labels of their documents; one subject at a time keeps the working set small
     post = prior[owner]
     log = np.empty((vocab.size, k + 1))
     for _ in range(rounds):
         for c in range(k + 1):
             like = np.bincount(at, weights=post[:, c][sentence], minlength=vocab.size)
-            like += 2.0 * base * vocab.size**0.5 + 0.05 * base / base.mean()
+            # a word seen a few times says little: every word starts with SHRINK sightings in proportion to the subject's size
+            like += SHRINK * max(like.sum() / words.size, 1e-4)
             log[:, c] = np.log(like / like.sum())
         for c in range(k + 1):
             post[:, c] = log_prior[owner, c]
