@@ -36,7 +36,7 @@ def best_chunk(vectors: DataFrame, id_col: str, vec_col: str, query: list[float]
 
 def vector_rank(score: Column) -> Column:
     """0 to 100000; negative similarities become 0 after pooling."""
-    return F.greatest(F.lit(0), F.floor(score * 100_000)).cast("int")
+    return F.when(score.isNotNull(), F.greatest(F.lit(0), F.floor(score * 100_000))).cast("int")
 
 
 def reciprocal(pos: Column) -> Column:

@@ -93,8 +93,8 @@ def matches(docs: DataFrame, id_col: str, text_col: str, query: Query, options:
 
 
 def rank_score(score: Column) -> Column:
-    """0 to 1000."""
-    return F.greatest(F.lit(1), F.least(F.lit(1000), F.floor(1000 * score / (score + SATURATION)))).cast("int")
+    """1 to 1000; null stays null."""
+    return F.when(score.isNotNull(), F.greatest(F.lit(1), F.least(F.lit(1000), F.floor(1000 * score / (score + SATURATION))))).cast("int")
 
 
 def pool(scored: DataFrame, size: int) -> DataFrame:

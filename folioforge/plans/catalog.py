@@ -224,7 +224,7 @@ _FUSED = _bm25(["harbour", "museum", "railway"], tail=f""", {_VSQL},
 k AS (SELECT doc_id, score, row_number() OVER (ORDER BY score DESC, doc_id) AS pos FROM m QUALIFY pos <= 100),
 w AS (SELECT doc_id, score, row_number() OVER (ORDER BY score DESC, doc_id) AS pos FROM v QUALIFY pos <= 300),
 f AS (SELECT coalesce(k.doc_id, w.doc_id) AS doc_id, coalesce(1e6 / (60 + k.pos), 0) + coalesce(1e6 / (60 + w.pos), 0) AS score,
-      coalesce(greatest(1, least(1000, floor(1000 * k.score / (k.score + 5)))), 0)::BIGINT AS krank, coalesce(greatest(0, floor(w.score * 100000)), 0)::BIGINT AS vrank FROM k FULL JOIN w ON k.doc_id = w.doc_id)
+      CASE WHEN k.score IS NULL THEN 0 ELSE greatest(1, least(1000, floor(1000 * k.score / (k.score + 5)))) END::BIGINT AS krank, CASE WHEN w.score IS NULL THEN 0 ELSE greatest(0, floor(w.score * 100000)) END::BIGINT AS vrank FROM k FULL JOIN w ON k.doc_id = w.doc_id)
 """)
 
 

@@ -14,7 +14,7 @@ DUMP = """<mediawiki><siteinfo><sitename>Testwiki</sitename><dbname>testwiki</db
 <page><title>None</title><ns>0</ns><id>3</id><revision><id>13</id><text /></revision></page>
 <page><title>Twice</title><ns>0</ns><id>4</id><revision><id>14</id><text>first text here</text></revision></page>
 <page><title>Twice</title><ns>0</ns><id>4</id><revision><id>15</id><text>second text here
-on {{PAGENAME}} at {{CURRENTYEAR}} of {{SITENAME}}</text></revision></page>
+on {{PAGENAME}} in {{CURRENTMONTHNAME}} of {{SITENAME}}</text></revision></page>
 <page><title>Blank</title><ns>0</ns><id>5</id><revision><id>16</id><text>&lt;!-- nothing --&gt;</text></revision></page>
 <page><title>Noid</title><ns>0</ns><revision><id>17</id><text>page without id</text></revision></page>
 <page><title>Vorlage:Note</title><ns>10</ns><id>6</id><revision><id>18</id><text>&lt;noinclude&gt;doc&lt;/noinclude&gt;({{inner|{{{1}}}}})</text></revision></page>
@@ -42,7 +42,7 @@ def test_dump(spark, dump):
     rows = {r.Title: r for r in mw.render_articles(pages, site, datetime(2021, 1, 1)).collect()}
     assert set(rows) == {"AT&amp;T", "Twice", "Noid"} and rows["Noid"].Id == 0
     assert rows["AT&amp;T"].Doc == "AT&T is a firm. (see one)"
-    assert rows["Twice"].Doc == "second text here\non Twice at 2021 of Testwiki"
+    assert rows["Twice"].Doc == "second text here\non Twice in January of Testwiki"
     assert mw.expand_page(pages, "Twice", raw=True).startswith("second") and mw.expand_page(pages, "Old") is None
     assert mw.read_pages(spark, dump, limit=2).count() == 2
 

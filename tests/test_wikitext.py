@@ -74,7 +74,7 @@ def test_kept_values(v):
         ("a<ref>note</ref> b", "a b"), ("a<ref name=x /> b", "a b"), ("a<!-- c --> b", "a b"), ("one<br/>two", "one\ntwo"), ("one</div>two", "one two"), ("o<b>n</b>e", "one"), ("go [http://x.org label here] now", "go label here now"),
         ("go [http://x.org] now", "go now"), ("== Head ==\ntext", "Head\n\ntext"), ("* item one\n# item two", "item one\nitem two"), ('{| class="w"\n| cell\n|}\nafter text', "after text"), ("__NOTOC__intro text", "intro text"),
         ("a b", "a b"), ("word\n\n\n\nnext", "word\n\nnext"), ("Tom &amp; Jerry", "Tom & Jerry"), ("variant=2\nfoo bar", "foo bar"), ("nowrap some text\nfoo bar", "foo bar"), ("a [[Cattle]] farm", "a Cattle farm"),
-        ("", ""), (None, ""), ("#REDIRECT [[X]]", ""), ("{{{{", "{{{{"), ("x [[File:a|[[b]]|c]] y", "x y"),
+        ("", ""), (None, ""), ("#REDIRECT [[X]]", ""), ("{{{{", ""), ("x [[File:a|[[b]]|c]] y", "x y"),
     ],
 )
 def test_articles(text, value):
