@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .tables import materialize, spread
 
 K1, B, SATURATION = 1.2, 0.75, 5.0
 
@@ -50,7 +51,8 @@ def parse_query(q: str | None, min_word_length: int = 2) -> Query:
 
 def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``(term, doc_id, tf, first_pos)``; one shuffle, terms counted before it."""
-    words = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(T.tokens(F.col(text_col))).alias("pos", "term"))
+    texts = spread(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
+    words = texts.select("doc_id", F.posexplode(T.tokens(F.col("text"))).alias("pos", "term"))
     return words.groupBy("term", "doc_id").agg(F.count("*").alias("tf"), F.min("pos").alias("first_pos"))
 
 
@@ -72,14 +74,15 @@ def matches(docs: DataFrame, id_col: str, text_col: str, query: Query, options:
     """Every matching document with its score: ``(doc_id, score)``, score > 0.
 
     One pass over the text: only the query's words are looked up in each
-    document, corpus figures come from the same pass; nothing is shuffled but
-    one row of sums.
+    document, and what is found there (a few numbers a document) is written, so
+    corpus figures and scores read that; nothing is shuffled but one row of sums.
     """
     spark = docs.sparkSession
     if not query.words:
         return spark.createDataFrame([], "doc_id long, score double")
-    toks = docs.select(F.col(id_col).alias("doc_id"), T.tokens(F.col(text_col)).alias("toks")).filter("toks is not null")
+    toks = spread(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))).select("doc_id", T.tokens(F.col("text")).alias("toks")).filter("toks is not null")
     found = toks.select("doc_id", F.size("toks").alias("dl"), *[_occurrences(w).alias(f"tf{i}") for i, w in enumerate(query.words)], *[(F.array_position("toks", F.lit(w)) - 1).alias(f"p{i}") for i, w in enumerate(query.words)])
+    found = materialize(found)
     figures = found.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(query.words))]).first()
     if not figures["n"] or not figures["avgdl"]:
         return spark.createDataFrame([], "doc_id long, score double")

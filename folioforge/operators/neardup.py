@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from ..functions.words import mix64, shingle_sets
 from .components import connected_components
-from .tables import materialize, pick, rows_at_most
+from .tables import materialize, pick, rows_at_most, spread
 
 BITS = 128
 BROADCAST_ROWS = 8_192
@@ -113,7 +113,7 @@ def sketch_texts(docs: DataFrame, id_col: str, text_col: str, width: int = 3, mi
     if bands * rows > BITS:
         raise ValueError("bands * rows may not exceed 128")
     rows_in = pick(docs, id=id_col, text=text_col).filter("id is not null and text is not null and text <> ''")
-    return rows_in.mapInArrow(_sketches(width, min_words, bands, rows), SKETCH)
+    return spread(rows_in).mapInArrow(_sketches(width, min_words, bands, rows), SKETCH)
 
 
 def _radius(threshold: float) -> int:

@@ -63,3 +63,25 @@ def pick(df: DataFrame, **names: str) -> DataFrame:
         raise ValueError(f"no column {', '.join(missing)} among {df.columns}")
     plain = df.toDF(*(f"_{i}" for i in range(len(df.columns))))
     return plain.select(*(F.col(f"_{places[old]}").cast("long").alias(new) if new == "id" else F.col(f"_{places[old]}").alias(new) for new, old in names.items()))
+
+
+_PLAIN = ("Project", "Filter", "Relation", "LogicalRelation", "SubqueryAlias")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores where a plain scan has fewer splits than the cluster has cores.
+
+    Small or single-row-group files come as one split; work on whole texts would
+    then run on one core.  A scan with enough splits is left as it is, so large
+    inputs are never shuffled for this; plans with joins or aggregates are left too.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    try:
+        run = df._jdf.queryExecution()
+        steps = [line.lstrip(" :+-") for line in run.optimizedPlan().toString().splitlines() if line.strip()]
+        if df.isStreaming or not all(x.startswith(_PLAIN) for x in steps):
+            return df
+        splits = run.toRdd().getNumPartitions()
+    except Exception:  # noqa: BLE001  other kinds of sessions have no such handle
+        return df
+    return df.repartition(cores) if splits < cores else df

@@ -140,7 +140,7 @@ def render_articles(pages: DataFrame, site: dict | None = None, as_of: datetime
     size = bodies.agg(F.sum(F.octet_length("body") + F.octet_length("name"))).first()[0] or 0
     if size <= BROADCAST_BYTES:
         fixed = {r["name"]: r["body"] for r in bodies.collect()}
-        rows = todo.select("page_id", "title", "wikitext")
+        rows = todo.select("page_id", "title", "wikitext").repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), "page_id", "title")
         done = rows.mapInArrow(_renderer(fixed, words, names, compat), "Id long, Title string, Doc string, error string")
     else:
         used = template_closure(todo, bodies).join(bodies, "name").groupBy("page_id").agg(F.map_from_entries(F.collect_list(F.struct("name", "body"))).alias("bodies"))
