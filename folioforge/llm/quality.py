@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.tables import materialize, pick
+from ..operators.tables import materialize, pick, spread
 from .residue import is_residue
 
 TYPES = ["prose", "list", "table", "junk"]
@@ -218,7 +218,7 @@ def statistics(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     repeated rows; other columns are ignored; texts are read whole.
     """
     rows = pick(docs, id=id_col, text=text_col).filter(F.col("id").isNotNull() & F.col("text").rlike(r"[^\s\p{Z}]"))
-    return rows.mapInArrow(_measure, "id long, " + ", ".join(f"{k} double" for k in STATS) + ", pattern int, residue boolean")
+    return spread(rows).mapInArrow(_measure, "id long, " + ", ".join(f"{k} double" for k in STATS) + ", pattern int, residue boolean")
 
 
 def learn(patterns: np.ndarray, counts: np.ndarray, rounds: int = 60, strength: float = 0.1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

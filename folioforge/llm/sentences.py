@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.tables import pick
+from ..operators.tables import pick, spread
 
 # Abbreviations that something always follows: titles, references, measures before a number.
 ALWAYS = """Mr Mrs Ms Dr Prof St Gen Col Capt Rev Hon Sen Gov Lt Sgt vs viz cf ca e.g i.e approx al
@@ -259,4 +259,4 @@ def sentences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     rows with a null id are left out, other columns are ignored.
     """
     rows = pick(docs, id=id_col, text=text_col).filter("id is not null and text is not null and text <> ''")
-    return rows.mapInArrow(_run, "id long, sentence_no int, start_at long, end_at long, sentence string")
+    return spread(rows).mapInArrow(_run, "id long, sentence_no int, start_at long, end_at long, sentence string")

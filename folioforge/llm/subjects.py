@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.tables import pick
+from ..operators.tables import pick, spread
 from .quality import text_statistics
 from .residue import _NAME, _NUMBER, _UNITS_OF, _unit_tables, is_residue, unit_features
 
@@ -278,4 +278,4 @@ def assign(docs: DataFrame, labels: DataFrame, subjects: list[str], id_col: str,
                 d, c = np.nonzero(chain.decode(x))
                 yield pa.RecordBatch.from_arrays([pa.array(ids[lo + np.array(at)[d]], pa.int64()), pa.array([subjects[j] for j in c], pa.string())], ["id", "subject"])
 
-    return rows.mapInArrow(run, schema).distinct()
+    return spread(rows).mapInArrow(run, schema).distinct()
