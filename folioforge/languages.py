@@ -29,7 +29,7 @@ def default_language(available: DataFrame) -> str | None:
     return row and row["code"]
 
 
-def discover(spark: SparkSession, suffix: str = "_wikipedia_search") -> DataFrame:
+def discover(spark: SparkSession, suffix: str = "_docs_search") -> DataFrame:
     """Codes of the databases named ``<code><suffix>``; hyphens in names are written as underscores."""
     names = [(d.name,) for d in spark.catalog.listDatabases()]
     found = spark.createDataFrame(names, "name string").filter(F.col("name").rlike(f"^[a-z][a-z_-]*{suffix}$"))

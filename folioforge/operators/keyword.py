@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.stems import derivations
 from .tables import materialize, spread
 
 K1, B, SATURATION = 1.2, 0.75, 5.0
@@ -23,6 +24,8 @@ class SearchOptions:
     proximity: bool = False
     all_match: bool = False
     min_word_length: int = 2
+    derivations: str | None = None
+    min_derived_length: int = 5
     page: int = 10
     max_fetch: int = 40
     max_show: int = 20
@@ -66,8 +69,21 @@ def term_score(tf: Column, df: Column, n: Column, dl: Column, avgdl: Column, fir
     return idf * gain * (1 + lead_bias / 1000.0 / (1 + first_pos / 50.0))
 
 
-def _occurrences(word: str) -> Column:
-    return F.size(F.filter("toks", lambda t: t == F.lit(word)))
+def _occurrences(forms: list[str]) -> Column:
+    return F.size(F.filter("toks", lambda t: t.isin(*forms)))
+
+
+def _first_place(forms: list[str]) -> Column:
+    places = [F.nullif(F.array_position("toks", F.lit(w)), F.lit(0)) for w in forms]
+    return (F.least(*places) if len(places) > 1 else places[0]) - 1
+
+
+def _closeness(words: list[list[str]]) -> Column:
+    """Least distance between two different query words, null where they do not meet."""
+    label = lambda t: F.coalesce(*[F.when(t.isin(*forms), F.lit(i)) for i, forms in enumerate(words)])
+    placed = F.filter(F.transform("toks", lambda t, i: F.struct(i.alias("i"), label(t).alias("w"))), lambda s: s["w"].isNotNull())
+    gaps = F.zip_with(placed, F.slice(placed, 2, F.greatest(F.size(placed) - 1, F.lit(0))), lambda a, b: F.when(a["w"] != b["w"], b["i"] - a["i"]))
+    return F.array_min(gaps)
 
 
 def matches(docs: DataFrame, id_col: str, text_col: str, query: Query, options: SearchOptions = SearchOptions()) -> DataFrame:
@@ -81,7 +97,8 @@ def matches(docs: DataFrame, id_col: str, text_col: str, query: Query, options:
     if not query.words:
         return spark.createDataFrame([], "doc_id long, score double")
     toks = spread(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))).select("doc_id", T.tokens(F.col("text")).alias("toks")).filter("toks is not null")
-    found = toks.select("doc_id", F.size("toks").alias("dl"), *[_occurrences(w).alias(f"tf{i}") for i, w in enumerate(query.words)], *[(F.array_position("toks", F.lit(w)) - 1).alias(f"p{i}") for i, w in enumerate(query.words)])
+    forms = [[w] if query.exact else derivations(w, options.derivations, options.min_derived_length) for w in query.words]
+    found = toks.select("doc_id", F.size("toks").alias("dl"), *[_occurrences(w).alias(f"tf{i}") for i, w in enumerate(forms)], *[_first_place(w).alias(f"p{i}") for i, w in enumerate(forms)], (_closeness(forms) if options.proximity and len(forms) > 1 else F.lit(None).cast("int")).alias("gap"))
     found = materialize(found)
     figures = found.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(query.words))]).first()
     if not figures["n"] or not figures["avgdl"]:
@@ -91,6 +108,7 @@ def matches(docs: DataFrame, id_col: str, text_col: str, query: Query, options:
     score = parts[0]
     for p in parts[1:]:
         score = score + p
+    score = score * (1 + F.coalesce(0.5 / F.col("gap"), F.lit(0.0)))
     hit = found.filter(" and ".join(f"tf{i} > 0" for i in range(len(parts)))) if options.all_match or query.exact else found
     return hit.select("doc_id", score.alias("score")).filter("score > 0")
 

@@ -39,11 +39,29 @@ def best_window(text: str, words: list[str], longest: int = LONGEST) -> str:
     return text[start : start + longest]
 
 
-def snippet_column(text: str, words: list[str], longest: int = LONGEST) -> Column:
-    """Snippet of a text column; use it on rows that are already limited."""
+def windows(text: str, words: list[str], longest: int = LONGEST, parts: int = 2) -> str:
+    """Up to ``parts`` windows of different words, together at most ``longest`` characters."""
+    share, left, out = longest // parts, list(words), []
+    for _ in range(parts):
+        w = best_window(text, left, share)
+        hit = [x for x in left if re.search(rf"(?i)(?<!\w){re.escape(x)}(?!\w)", w)]
+        if out and not hit:
+            break
+        out.append(w)
+        left = [x for x in left if x not in hit]
+        if not left:
+            break
+    return " … ".join(out)
+
+
+def snippet_column(text: str, words: list[str], longest: int = LONGEST, style: str = "querybest") -> Column:
+    """Snippet of a text column ("querybest": one window, "querymultiple": several); use it on rows that are already limited."""
+    if style not in ("querybest", "querymultiple"):
+        raise ValueError("style must be querybest or querymultiple")
+    cut = best_window if style == "querybest" else windows
 
     @F.pandas_udf("string")
     def make(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: None if t is None else best_window(t, words, longest))
+        return s.map(lambda t: None if t is None else cut(t, words, longest))
 
     return make(F.col(text))

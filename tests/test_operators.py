@@ -136,6 +136,20 @@ def test_neighbours_recall_and_dirty_rows(spark):
     assert all((r.n_id, r.n_chunk) in want[(r.id, r.chunk)] for r in exact.collect())
 
 
+def test_tree_of_cells_finds_the_flat_answer(monkeypatch):
+    rng = np.random.default_rng(8)
+    centre = rng.normal(size=(60, 16))
+    x = (centre[rng.integers(0, 60, 6000)] + rng.normal(size=(6000, 16)) * 0.4).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    monkeypatch.setattr(neighbours, "FLAT", 10)
+    codec = neighbours.fit_codec(x, 200)
+    assert codec.tops is not None and 150 <= len(codec.centroids) <= 260 and codec.first[-1] == len(codec.centroids)
+    got = codec.assign(x, 4)
+    flat = neighbours.Codec(codec.centroids, codec.words, codec.eta).assign(x, 4)
+    assert (got[:, 0] == flat[:, 0]).mean() > 0.98 and np.mean([len(set(a) & set(b)) for a, b in zip(got, flat)]) > 3.7
+    assert codec.assign(x[:3], 4).shape == (3, 4)
+
+
 def test_equal_vectors(spark):
     rng = np.random.default_rng(4)
     same = rng.normal(size=8).astype(np.float32).tolist()
@@ -247,6 +261,20 @@ def test_rerank_policy(spark):
     assert not rerank.has_next_page(10, 10, 0) and rerank.has_next_page(21, 10, 10)
 
 
+def test_derivations_and_proximity(spark):
+    from folioforge.functions.stems import derivations
+    from folioforge.operators.snippet import windows
+
+    assert derivations("harbours", "en")[0] == "harbours" and "harbour" in derivations("harbours", "simple") and derivations("cat", "en") == ["cat"] and derivations("harbours", None) == ["harbours"]
+    df = spark.createDataFrame([(1, "the harbour museum"), (2, "harbours x x x x x x x x museum"), (3, "nothing"), (4, None)], "Id long, Doc string")
+    run = lambda **o: {r.doc_id: r.score for r in keyword.matches(df, "Id", "Doc", keyword.parse_query("harbour museum"), keyword.SearchOptions(**o)).collect()}
+    plain, near, derived = run(), run(proximity=True), run(derivations="en", all_match=True)
+    assert set(plain) == {1, 2} and set(derived) == {1, 2} and near[1] > plain[1] and near[2] == plain[2]
+    assert set(run(all_match=True)) == {1}
+    t = "alpha " + "x " * 500 + "omega end"
+    assert "alpha" in windows(t, ["alpha", "omega"]) and "omega" in windows(t, ["alpha", "omega"]) and len(windows(t, ["alpha", "omega"])) <= 405
+
+
 def test_snippets():
     t = "start " * 200 + "harbour museum " + "end " * 200
     assert "harbour museum" in best_window(t, ["harbour", "museum"]) and len(best_window(t, ["harbour"])) <= 400
@@ -294,3 +322,20 @@ def test_averages(spark):
     df = spark.createDataFrame([(1, [10.0, 20.0, 30.0]), (2, [5.0])], "k int, v array<double>")
     got = {r.k: r.e for r in df.select("k", progress.moving_average(F.col("v"), 0.5).alias("e")).collect()}
     assert got == {1: 22.5, 2: 5.0}
+
+
+def test_text_index(spark, data, tmp_path):
+    from folioforge.operators import index
+
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    path = str(tmp_path / "ix")
+    assert index.build_text_index(docs, path, "doc_id", "text") and not index.build_text_index(docs, path, "doc_id", "text")
+    for q, o in (("harbour museum railway", keyword.SearchOptions()), ("founded kingdom", keyword.SearchOptions(all_match=True)), ("", keyword.SearchOptions())):
+        a = {r.doc_id: round(r.score, 9) for r in index.search_text_index(spark, path, keyword.parse_query(q), o).collect()}
+        b = {r.doc_id: round(r.score, 9) for r in keyword.matches(docs, "doc_id", "text", keyword.parse_query(q), o).collect()}
+        assert a == b
+    plan = index.search_text_index(spark, path, keyword.parse_query("harbour"))._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan or "PartitionFilters: [(bucket" in plan
+    with pytest.raises(FileNotFoundError):
+        index.search_text_index(spark, str(tmp_path / "none"), keyword.parse_query("x"))
+    assert index.vector_backend(10) == "exact" and index.vector_backend(5000) == "cells"

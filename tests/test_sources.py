@@ -95,7 +95,7 @@ def test_languages(spark):
     got = {r.code: r for r in t.filter("code in ('en', 'ar', 'simple')").collect()}
     assert got["ar"].rtl and not got["en"].rtl and got["simple"].english == "Simple English" and t.count() > 150
     assert languages.default_language(t) == "en" and languages.default_language(t.filter("code in ('de', 'ar')")) == "ar"
-    spark.sql("CREATE DATABASE IF NOT EXISTS zh_yue_wikipedia_search")
+    spark.sql("CREATE DATABASE IF NOT EXISTS zh_yue_docs_search")
     assert "zh-yue" in {r.code for r in languages.discover(spark).collect()}
 
 
