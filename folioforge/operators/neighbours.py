@@ -1,7 +1,8 @@
 """k most similar vectors of every vector: partitioned search over 4-bit score-aware codes.
 
-*Fit* (driver, on a bounded sample of ``sample`` vectors): spherical k-means
-cells, about one per ``per_cell`` vectors and at most ``max_cells``, and a
+*Fit* (driver, on a bounded sample of ``sample`` vectors, eight a cell where that
+is more): spherical k-means cells, about one per ``per_cell`` vectors and at most
+``max_cells``, as a two-level tree where there are many, and a
 product code of two dimensions and 16 words each, fitted under the anisotropic
 loss ``|r|^2 + (eta - 1) (x.r)^2`` that weighs the residual parallel to the
 vector ``eta`` times the orthogonal one, as inner products of near neighbours
@@ -26,27 +27,53 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tables import materialize, pick
+from .tables import materialize, pick, spread
 
 WORDS = 16
+FLAT = 1024
 
 
 @dataclass
 class Codec:
-    """Cell centroids, code words and the anisotropic weight; at most a few MB by ``max_cells``."""
+    """Cell centroids, code words and the anisotropic weight; at most 16 MB at ``max_cells`` and 64 dimensions.
+
+    Above ``FLAT`` cells the centroids are the leaves of a two-level tree
+    (``tops`` and the first leaf of each), so a vector meets a few hundred
+    centroids however many cells there are.
+    """
 
     centroids: np.ndarray  # cells x dim, unit length
     words: np.ndarray  # dim/2 x 16 x 2
     eta: float
+    tops: np.ndarray | None = None
+    first: np.ndarray | None = None
 
     def assign(self, x: np.ndarray, probes: int) -> np.ndarray:
         probes = min(probes, len(self.centroids))
+        if self.tops is not None:
+            return self._descend_tree(x, probes)
         s = x @ self.centroids.T
         if probes == len(self.centroids):
             return np.argsort(-s, axis=1, kind="stable").astype(np.int32)
         top = np.argpartition(-s, probes - 1, axis=1)[:, :probes]
         return np.take_along_axis(top, np.argsort(-np.take_along_axis(s, top, 1), axis=1, kind="stable"), 1).astype(np.int32)
 
+    def _descend_tree(self, x: np.ndarray, probes: int, width: int = 12) -> np.ndarray:
+        """Best leaves among those of each vector's ``width`` best top cells."""
+        width = min(width, len(self.tops))
+        near = np.argpartition(-(x @ self.tops.T), width - 1, axis=1)[:, :width]
+        best = np.full((len(x), probes), -9.0, np.float32)
+        leaf = np.zeros((len(x), probes), np.int32)
+        order = np.argsort(near.ravel(), kind="stable")
+        top, row = near.ravel()[order], order // width
+        for lo, hi in zip(*(lambda e: (e, np.append(e[1:], top.size)))(np.flatnonzero(np.diff(top, prepend=-1)))):
+            at, a, b = row[lo:hi], self.first[top[lo]], self.first[top[lo] + 1]
+            s = np.concatenate((best[at], x[at] @ self.centroids[a:b].T), axis=1)
+            who = np.concatenate((leaf[at], np.broadcast_to(np.arange(a, b, dtype=np.int32), (hi - lo, b - a))), axis=1)
+            k = np.argpartition(-s, probes - 1, axis=1)[:, :probes]
+            best[at], leaf[at] = np.take_along_axis(s, k, 1), np.take_along_axis(who, k, 1)
+        return np.take_along_axis(leaf, np.argsort(-best, axis=1, kind="stable"), 1)
+
     def encode(self, x: np.ndarray, base: np.ndarray, rounds: int = 2) -> np.ndarray:
         """4-bit codes of ``x - base`` by coordinate descent on the anisotropic loss, two to a byte."""
         codes = _descend(x, x - base, self.words, self.eta, rounds)[0]
@@ -90,14 +117,14 @@ def _descend(x, e, words, eta, rounds):
     return codes, part
 
 
-def fit_codec(sample: np.ndarray, cells: int, seed: int = 7, iterations: int = 12, threshold: float = 0.2) -> Codec:
-    """Fit cells and code words on unit vectors ``sample`` (deterministic)."""
-    rng = np.random.default_rng(seed)
+def _cells(sample: np.ndarray, cells: int, rng: np.random.Generator, iterations: int) -> tuple[np.ndarray, np.ndarray]:
+    """Spherical k-means: unit centroids and the cell of each vector."""
     dim = sample.shape[1]
     cells = max(1, min(cells, len(sample)))
     c = sample[rng.choice(len(sample), cells, replace=False)].copy()
+    nearest = lambda: np.concatenate([np.argmax(sample[i : i + 8192] @ c.T, 1) for i in range(0, len(sample), 8192)])
     for _ in range(iterations):
-        home = np.concatenate([np.argmax(sample[i : i + 8192] @ c.T, 1) for i in range(0, len(sample), 8192)])
+        home = nearest()
         order = np.argsort(home, kind="stable")
         n = np.bincount(home, minlength=cells)
         sums = np.zeros((cells, dim), np.float32)
@@ -105,15 +132,34 @@ def fit_codec(sample: np.ndarray, cells: int, seed: int = 7, iterations: int = 1
         sums[filled] = np.add.reduceat(sample[order], np.concatenate(([0], np.cumsum(n)[:-1]))[filled], axis=0)
         if (n == 0).any():
             sums[n == 0] = sample[rng.choice(len(sample), int((n == 0).sum()))]
-        c = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-12)
-    home = np.concatenate([np.argmax(sample[i : i + 8192] @ c.T, 1) for i in range(0, len(sample), 8192)])
-    x = sample[: 1 << 14]
+        c = (sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-12)).astype(np.float32)
+    return c, nearest()
+
+
+def fit_codec(sample: np.ndarray, cells: int, seed: int = 7, iterations: int = 12, threshold: float = 0.2) -> Codec:
+    """Fit cells and code words on unit vectors ``sample`` (deterministic)."""
+    rng = np.random.default_rng(seed)
+    dim = sample.shape[1]
+    tops = first = None
+    if cells <= FLAT:
+        c, home = _cells(sample, cells, rng, iterations)
+    else:
+        tops, parent = _cells(sample, int(np.ceil(np.sqrt(cells))), rng, iterations)
+        parts, home, starts = [], np.empty(len(sample), np.int64), [0]
+        for t in range(len(tops)):
+            at = np.flatnonzero(parent == t)
+            leaves, inner = _cells(sample[at], max(1, round(cells * at.size / len(sample))), rng, iterations) if at.size else (tops[t : t + 1], np.empty(0, np.int64))
+            home[at] = inner + starts[-1]
+            parts.append(leaves)
+            starts.append(starts[-1] + len(leaves))
+        c, first = np.concatenate(parts), np.array(starts)
+    x = sample[: 1 << 12]
     e = x - c[home[: len(x)]]
     eta = max(1.0, (dim - 1) * threshold**2 / (1 - threshold**2))
     m = dim // 2
     es, xs = e.reshape(len(x), m, 2), x.reshape(len(x), m, 2)
     words = np.stack([es[rng.choice(len(x), WORDS, replace=len(x) < WORDS), j] for j in range(m)]).astype(np.float32)
-    for _ in range(iterations):
+    for _ in range(iterations // 2):
         codes, part = _descend(x, e, words, eta, 1)
         total = part.sum(1)
         for j in range(m):
@@ -126,7 +172,7 @@ def fit_codec(sample: np.ndarray, cells: int, seed: int = 7, iterations: int = 1
                 a, t = xs[at, j], target[at]
                 left = at.sum() * np.eye(2) + (eta - 1) * a.T @ a
                 words[j, w] = np.linalg.solve(left, es[at, j].sum(0) + (eta - 1) * (a * t[:, None]).sum(0))
-    return Codec(c.astype(np.float32), words, float(eta))
+    return Codec(c, words, float(eta), tops, first)
 
 
 def _unpack(column: pa.Array, dim: int) -> np.ndarray:
@@ -177,7 +223,7 @@ def chunk_vectors(docs: DataFrame, id_col: str, vec_col: str, dim: int) -> DataF
             yield pa.RecordBatch.from_arrays([ids.take(pa.array(row[at])), pa.array(chunk[at].astype(np.int32)), pa.array(packed, pa.binary())], ["id", "chunk", "v"])
 
     rows = pick(docs, id=id_col, vec=vec_col).filter("id is not null and vec is not null")
-    return rows.mapInArrow(run, "id long, chunk int, v binary").dropDuplicates(["id", "chunk"])
+    return spread(rows).mapInArrow(run, "id long, chunk int, v binary").dropDuplicates(["id", "chunk"])
 
 
 def _route(codec: Codec, probes: int, dim: int, blocks: dict[int, int], query_blocks: dict[int, int]):
@@ -262,7 +308,7 @@ def _search(codec: Codec, dim: int, k: int, rerank: int):
 NEIGHBOURS = "id long, chunk int, n_id long, n_chunk int, score float"
 
 
-def nearest_neighbours(vectors: DataFrame, dim: int, k: int, probes: int = 6, per_cell: int = 1000, max_cells: int = 4096, rerank: int = 32, block: int = 8192, sample: int = 32_768) -> DataFrame:
+def nearest_neighbours(vectors: DataFrame, dim: int, k: int, probes: int = 6, per_cell: int = 1000, max_cells: int = 65_536, rerank: int = 32, block: int = 8192, sample: int = 32_768) -> DataFrame:
     """``k`` most similar (cosine) other vectors of every vector of ``(id, chunk, v)``.
 
     Result ``(id, chunk, n_id, n_chunk, score)``.  Ties go to the smaller
@@ -279,9 +325,11 @@ def nearest_neighbours(vectors: DataFrame, dim: int, k: int, probes: int = 6, pe
     n = reps.count()
     if n == 0:
         return spark.createDataFrame([], NEIGHBOURS)
+    cells = min(max_cells, -(-n // per_cell))
+    sample = max(sample, 8 * cells)
     share = min(1.0, sample / n)
     got = reps.filter(F.pmod(F.xxhash64("chunk", "id"), F.lit(1_000_000)) < int(share * 1_000_000) + 1).select("v").limit(2 * sample).toArrow()
-    codec = fit_codec(_unpack(got.column("v"), dim), min(max_cells, -(-n // per_cell)))
+    codec = fit_codec(_unpack(got.column("v"), dim), cells)
     probes = min(probes, len(codec.centroids))
 
     def visits(batches):
