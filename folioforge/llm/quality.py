@@ -113,7 +113,7 @@ def text_statistics(text: str) -> dict[str, float]:
         elif _CELL.match(line):
             cells += 1
             share_t += k
-        elif _REFERENCE.search(line) or _TERM_YEAR.match(line) or _BULLET.match(line):
+        elif (k <= 2000 and _REFERENCE.search(line)) or _TERM_YEAR.match(line) or _BULLET.match(line):
             share_l += k
         elif len(_STYLE.findall(line)) >= 2:
             share_j += k

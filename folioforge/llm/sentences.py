@@ -51,6 +51,9 @@ _FIRM = re.compile(r"(?:Ltd|Inc|Corp|Co|Jr|Sr|Bros|LLC|GmbH|KG|AG|S\.A)\b")
 _LIST = re.compile(r"\s*(?:\(?\d{1,3}|[a-zA-Z]|[ivxIVX]{1,4})$")
 
 
+DEEPEST = 64
+
+
 class Trie:
     """Abbreviations stored backwards, walked from the mark to the left."""
 
@@ -105,6 +108,8 @@ def _pairs(par: str, lo: int, hi: int) -> dict[int, int]:
             del stack[k:]
         elif ch == '"' or (ch in OPEN and ch not in CLOSE):
             stack.append((ch, at))
+            if len(stack) > DEEPEST:  # an opening mark so far out has no partner
+                del stack[0]
     return match
 
 
@@ -158,12 +163,12 @@ def _ends(text: str, at: int, end: int, start: int, hi: int) -> bool:
         return False  # one letter of a script without case
     digits = re.search(r"(?<!\d)(?<![.,])\d{1,3}$", word)
     if digits:
-        before = text[start : at - len(digits.group())]
-        if not before.strip() or _LIST.fullmatch(text[start:at]):
+        before = text[max(start, at - 40) : at - len(digits.group())]
+        if at - start < 12 and (not before.strip() or _LIST.fullmatch(text[start:at])):
             return False  # a list number
         if len(digits.group()) < 3 and (ORDINAL_NEXT.match(text, nxt, hi) or (c.isupper() and ORDINAL_PREV.search(before))):
             return False
-    elif _LIST.fullmatch(text[start:at]) and len(text[start:at].strip()) == 1:
+    elif at - start < 12 and _LIST.fullmatch(text[start:at]) and len(text[start:at].strip()) == 1:
         return False
     return True
 

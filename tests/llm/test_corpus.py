@@ -58,6 +58,18 @@ def test_spans_cover_the_text(text):
     assert all(inside[i] or c.isspace() for i, c in enumerate(text))
 
 
+@pytest.mark.parametrize("unit", ["(", "“", "1.", "a.b.", "”", "“(", '"', "x ", "...", "「"])
+def test_long_repeats_are_linear(unit):
+    import time
+
+    began = time.monotonic()
+    text = unit * (200_000 // len(unit))
+    sentences.sentence_spans(text)
+    quality.text_statistics(text)
+    residue.is_residue(text[:20_000])
+    assert time.monotonic() - began < 20
+
+
 def test_sentence_frame(spark):
     rows = [(1, "One came. Two left.", "x"), (1, "One came. Two left.", "x"), (2, None, None), (3, "", "x"), (None, "A.", "x"), (4, "Long one. " * 50_000, "x")]
     got = sentences.sentences(spark.createDataFrame(rows, "doc_id long, text string, id string"), "doc_id", "text")
