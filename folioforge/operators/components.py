@@ -44,7 +44,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
             .distinct()
         )
         e = materialize(small)
-        now = e.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long"))).first()
+        now = e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if now == before:
             break
         before = now

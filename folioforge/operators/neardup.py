@@ -33,6 +33,7 @@ from .tables import materialize, pick, rows_at_most, spread
 
 BITS = 128
 BROADCAST_ROWS = 8_192
+HOLDER_ROWS = 200_000
 
 
 def _multipliers() -> np.ndarray:
@@ -275,9 +276,10 @@ def near_duplicates(docs: DataFrame, id_col: str, text_col: str, threshold: floa
     pairs = materialize(candidate_pairs(sketches, threshold, tile))
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
     # one text of each node in question
-    holders = sketches.filter("size(keys) > 0").join(wanted, "node").groupBy("node").agg(F.min("id").alias("id"))
+    holders = materialize(sketches.filter("size(keys) > 0").join(wanted, "node").groupBy("node").agg(F.min("id").alias("id")))
+    few = F.broadcast(holders) if rows_at_most(holders, HOLDER_ROWS) else holders  # keeps the texts of all others out of a shuffle
     texts = pick(docs, id=id_col, text=text_col).filter("id is not null and text is not null and text <> ''")
-    held = texts.join(holders, "id").select("node", "text", "id")
+    held = texts.join(few, "id").select("node", "text", "id")
     # an id may carry other texts too: keep the one whose sketch gave the node
     sets = materialize(_sets_of(held, width, min_words, bands, rows))
     joined = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b").select("a", "b", "sa", "sb")

@@ -683,16 +683,24 @@ def json_answer(s, d):
     return rerank.to_json(rerank.cut_json(rows), "en")
 
 
+_DUMPS: dict[tuple[str, str], str] = {}
+
+
 def _dump(s, d) -> str:
-    """The wiki's records as a dump in the shared folder, one template beside them."""
+    """The wiki's records as a dump in the shared folder, one template beside them; written once a session."""
     from ..operators.tables import shared_dir
 
+    held = _DUMPS.get((s.sparkContext.applicationId, d))
+    if held:
+        return held
+
     docs = table(s, d, "wikidocs").filter("Doc is not null and Title is not null")
     body = F.concat(F.lit("'''"), "Title", F.lit("''' {{note|1=see}} [[File:a.jpg|x]]\n"), F.regexp_replace("Doc", r"[^\x09\x0A\x20-\x{D7FF}\x{E000}-\x{FFFD}]", " "))
     page = F.struct(F.col("Title").alias("title"), F.lit(0).alias("ns"), F.col("Id").alias("id"), F.struct(F.lit(1).alias("id"), body.alias("text")).alias("revision"))
     note = s.createDataFrame([(("Template:Note", 10, 9_000_001, (1, "<noinclude>doc</noinclude>({{{1}}})")),)], "p struct<title: string, ns: int, id: int, revision: struct<id: int, text: string>>")
     path = f"{shared_dir(s)}/folioforge/dump-{abs(hash(d)) % 10**8}"
     docs.select(page.cast("struct<title: string, ns: int, id: int, revision: struct<id: int, text: string>>").alias("p")).union(note).select("p.*").write.mode("overwrite").format("xml").option("rootTag", "mediawiki").option("rowTag", "page").save(path)
+    _DUMPS[(s.sparkContext.applicationId, d)] = path
     return path
 
 
