@@ -81,3 +81,23 @@ def p5_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors, dim, k = _chunks(spark, sf_dir)
     vectors = neighbours.materialize(vectors)
     return neighbours.exact_neighbours(vectors.filter("id % 20 = 0"), vectors, dim, k)
+
+
+SQL["p4_found"] = """
+SELECT DISTINCT Id::BIGINT AS id FROM wikivecs WHERE Id <> 0 AND length(Doc) > (SELECT amount FROM run_settings WHERE setting = 'chunk_max_chars')"""
+
+SQL["p5_found"] = """
+WITH c AS (SELECT Id::BIGINT AS id, unnest(range(len(Vec)))::INTEGER AS chunk, unnest(Vec) AS v FROM wikivecs WHERE Vec IS NOT NULL AND Id <> 0),
+x AS (SELECT id, chunk, any_value(v)::DOUBLE[64] AS v FROM c WHERE len(v) = (SELECT dim FROM model_info) AND len(list_filter(v, lambda e: e IS NULL OR isnan(e) OR isinf(e))) = 0 AND len(list_filter(v, lambda e: e <> 0)) > 0 GROUP BY id, chunk),
+s AS (SELECT a.id AS id, a.chunk AS chunk, b.id AS n_id, b.chunk AS n_chunk, array_cosine_similarity(a.v, b.v) AS sim FROM x a, x b WHERE (a.id, a.chunk) <> (b.id, b.chunk)),
+t AS (SELECT *, row_number() OVER (PARTITION BY id, chunk ORDER BY sim DESC, n_id, n_chunk) AS r FROM s),
+k AS (SELECT * FROM t WHERE r <= (SELECT amount FROM run_settings WHERE setting = 'neighbours_k'))
+SELECT DISTINCT CASE WHEN (id, chunk) < (n_id, n_chunk) THEN id ELSE n_id END AS id_a, CASE WHEN (id, chunk) < (n_id, n_chunk) THEN chunk ELSE n_chunk END AS chunk_a,
+  CASE WHEN (id, chunk) < (n_id, n_chunk) THEN n_id ELSE id END AS id_b, CASE WHEN (id, chunk) < (n_id, n_chunk) THEN n_chunk ELSE chunk END AS chunk_b FROM k"""
+
+SQL["p6_found"] = r"""
+WITH w AS (SELECT DISTINCT Id, regexp_extract_all(lower(Doc), '[\p{L}\p{N}]+') AS w FROM wikidocs WHERE Id <> 0 AND Doc IS NOT NULL),
+s AS (SELECT Id, unnest(list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS g FROM w WHERE len(w) >= 40),
+n AS (SELECT Id, count(*) AS n FROM s GROUP BY Id),
+p AS (SELECT a.Id AS ia, b.Id AS ib, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.Id < b.Id GROUP BY ALL)
+SELECT ia::BIGINT AS id_a, ib::BIGINT AS id_b FROM p JOIN n x ON x.Id = ia JOIN n y ON y.Id = ib WHERE c >= 0.6 * (x.n + y.n - c)"""
