@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.tables import pick, spread
-from .quality import text_statistics
+from .quality import fold, text_statistics
 from .residue import _NAME, _NUMBER, _UNITS_OF, _unit_tables, is_residue, unit_features
 
 BEAM = 6
@@ -41,7 +41,9 @@ def _sentences(texts: list[str], tables) -> tuple[np.ndarray, np.ndarray, np.nda
         part = texts[lo : lo + 128]
         if not any(_has_word(t) for t in part):
             continue
-        f = unit_features(part, tables, SEPARATORS, hashes=False)
+        # a text in capitals has no names to tell; accents do not make another word
+        part = [t if t.isascii() else fold(t) for t in (t.lower() if t.isupper() else t for t in part)]
+        f = unit_features(part, tables, SEPARATORS, hashes=False, quoted=True)
         sentence = np.repeat(np.arange(f["n"].size, dtype=np.int32), f["n"])
         keep = (f["words"] != _NUMBER) & (f["words"] != _NAME)
         words.append(f["words"][keep])
@@ -157,7 +159,9 @@ def features(terms: Terms, texts: list[str], titles: list[str], tables) -> np.nd
             continue
         words, sentence, owner = _sentences([t or "" for t in values], tables)
         p = terms.posteriors(words, sentence, owner.size)
-        subject = np.stack([np.bincount(owner, weights=p[:, c], minlength=n) for c in range(k)], axis=1)
+        # a sentence, item or cell belongs to a subject only where that outweighs all else together
+        sure = p >= 0.5
+        subject = np.stack([np.bincount(owner, weights=sure[:, c], minlength=n) for c in range(k)], axis=1)
         total = subject.sum(axis=1)
         if part == 0:
             sentences = np.bincount(owner, minlength=n)
