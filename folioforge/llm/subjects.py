@@ -113,13 +113,14 @@ def fit_terms(words: np.ndarray, sentence: np.ndarray, owner: np.ndarray, labels
 @dataclass
 class Chain:
     terms: Terms
+    shared: np.ndarray  # weights common to all subjects
     order: list[int]
     weights: list[np.ndarray]
     carry: np.ndarray  # rate at which a plain case carries its label
 
     def probabilities(self, j: int, x: np.ndarray, decided: np.ndarray) -> np.ndarray:
         c = self.order[j]
-        z = np.concatenate((_view(x, c), decided[:, self.order[:j]]), axis=1) @ self.weights[j]
+        z = _pooled(x, c) @ self.shared + np.concatenate((_view(x, c), decided[:, self.order[:j]]), axis=1) @ self.weights[j]
         return np.clip(1 / (1 + np.exp(-np.clip(z, -30, 30))) / self.carry[c], 1e-6, 1 - 1e-6)
 
     def decode(self, x: np.ndarray) -> np.ndarray:
@@ -140,13 +141,19 @@ class Chain:
         return state[np.arange(n), score.argmax(axis=1)] > 0
 
 
-def _view(x: np.ndarray, c: int) -> np.ndarray:
-    """Features as subject ``c`` sees them: its share, the shares above and beside it, title, size."""
+def _pooled(x: np.ndarray, c: int) -> np.ndarray:
+    """What holds alike for all subjects: the share, with steps about a quarter, and the largest other share."""
     k = (x.shape[1] - 2) // 2
-    share, title, size, bearing = x[:, :k], x[:, k : 2 * k], x[:, 2 * k], x[:, 2 * k + 1]
+    share = x[:, :k]
     mine = share[:, c]
     others = np.delete(share, c, axis=1).max(axis=1) if k > 1 else np.zeros(len(x))
-    return np.stack([np.ones(len(x)), mine, np.minimum(mine, 0.3), np.clip((mine - 0.25) * 10, -1, 1), mine * mine, others, title[:, c], size, bearing, np.minimum(mine * np.exp(size), 6)], axis=1)
+    return np.stack([np.ones(len(x)), mine, np.minimum(mine, 0.3), *(np.tanh((mine - t) * 30) for t in (0.13, 0.2, 0.27)), others], axis=1)
+
+
+def _view(x: np.ndarray, c: int) -> np.ndarray:
+    """What is the subject's own: a level, its title evidence, how much of the text bears any subject."""
+    k = (x.shape[1] - 2) // 2
+    return np.stack([np.ones(len(x)), x[:, k + c], x[:, 2 * k + 1]], axis=1)
 
 
 def features(terms: Terms, texts: list[str], titles: list[str], tables) -> np.ndarray:
@@ -177,12 +184,12 @@ def _has_word(t: str | None) -> bool:
     return bool(t) and any(c.isalnum() for c in t)
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 25) -> np.ndarray:
+def _logistic(x: np.ndarray, y: np.ndarray, offset: np.ndarray | float = 0.0, ridge: float = 1.0, rounds: int = 25) -> np.ndarray:
+    """Logistic regression by Newton steps; ``offset`` is a known part of the logit."""
     w = np.zeros(x.shape[1])
     penalty = ridge * np.eye(x.shape[1])
-    penalty[0, 0] = 1e-3
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        p = 1 / (1 + np.exp(-np.clip(offset + x @ w, -30, 30)))
         g = x.T @ (y - p) - penalty @ w
         h = (x * (p * (1 - p))[:, None]).T @ x + penalty
         step = np.linalg.solve(h, g)
@@ -202,14 +209,15 @@ def fit_chain(texts: list[str], titles: list[str], labels: np.ndarray) -> Chain:
     # labels made by hand are incomplete and sometimes wrong: a label counts, and so does its lack where the text shows little of the subject
     order = np.argsort(-labels.sum(axis=0), kind="stable").tolist()
     weights, carry = [], np.ones(k)
+    shared = _logistic(np.concatenate([_pooled(x, c) for c in range(k)]), labels.T.ravel(), ridge=0.1)
     plain = x[:, :k] >= 0.35
     whole = (labels[plain].sum() + 3) / (plain.sum() + 4) if plain.any() else 0.8
     for j, c in enumerate(order):
         rate = (labels[plain[:, c], c].sum() + 10 * whole) / (plain[:, c].sum() + 10)
         carry[c] = min(1.0, max(0.3, rate))
         view = np.concatenate((_view(x, c), labels[:, order[:j]]), axis=1)
-        weights.append(_logistic(view, labels[:, c]))
-    return Chain(terms, order, weights, carry)
+        weights.append(_logistic(view, labels[:, c], _pooled(x, c) @ shared, ridge=3.0))
+    return Chain(terms, shared, order, weights, carry)
 
 
 def _reads_as_prose(text: str) -> bool:
