@@ -4,10 +4,13 @@ Every sentence and line of a document is a *unit*.  Units that match one of a
 few strict patterns are trusted residue.  All units get a 64-bit SimHash over
 their masked words (numbers and names become classes, brackets and braces stay
 part of the word) and word pairs.  SimHash tables partitioned by pairs of 13-bit
-blocks find every unit within Hamming distance 3 of a labelled one; Hamming
-distance and word similarity are verified, and the label moves on through the
-connected component until no unit is added.  Components without a trusted unit
-are never touched, so their pairs need not be formed.
+blocks find every unit within Hamming distance 3 of a labelled one.  That meets
+few pairs at word likeness 0.8, so a prefix index finds the others: units of that
+likeness share one of their rarest words, without exception.  Word likeness is
+verified, and the label moves on through the connected component until no unit is
+added.  A label given for a field or blank value moves only to units that hold a
+mark themselves: the same sentence filled in is content.  Components without a
+trusted unit are never touched, so their pairs need not be formed.
 """
 
 from __future__ import annotations
@@ -30,6 +33,7 @@ BLOCKS = 5
 BLOCK_BITS = 13
 RADIUS = 3
 BROADCAST_ROWS = 20_000
+SAMPLED_UNITS = 50_000  # for the order of words only
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _NUMBER, _NAME = np.uint64(0x1234567), np.uint64(0x7654321)
 
@@ -69,21 +73,26 @@ _EXTRA = ["goes here", "bla bla", "test test", "foo bar", "word word", "text tex
 
 def is_residue(unit: str) -> bool:
     """Whether one unit, on its own, is trusted residue: a strict pattern outside quotation marks and not spoken about."""
+    return residue_kind(unit) is not None
+
+
+def residue_kind(unit: str) -> str | None:
+    """``wording`` or ``mark`` (a field or blank value alone) for trusted residue."""
     words = re.findall(r"[^\W\d_]+", unit.lower())
     if len(words) >= 4 and sum(w in LATIN for w in words) >= 0.7 * len(words):
-        return True
+        return "wording"
     tokens = unit.lower().rstrip(".!? ").split()
     if tokens and any(c.isdigit() for c in tokens[-1]):
         tokens.pop()  # a code after the filler
     if len(tokens) >= 4 and len(set(tokens)) <= 2 and set(tokens) <= REPEATED:
-        return True
+        return "wording"
     plain = _QUOTED.sub(" ", unit)
+    if (_NOTICE.search(plain) or _FILLER.search(plain)) and not _ABOUT.search(plain):
+        return "wording"
     fields = [m.group() for m in _FIELD.finditer(plain) if not m.group().startswith(("[", "#", "__")) or _UPPER_FIELD.match(m.group()) or m.group().lower().startswith(("[your", "[insert", "[enter", "[add", "[name"))]
     if fields and (len(fields) > 1 or not _ABOUT.search(plain)):
-        return True
-    if _UNFILLED.search(plain):
-        return True
-    return bool((_NOTICE.search(plain) or _FILLER.search(plain)) and not _ABOUT.search(plain))
+        return "mark"
+    return "mark" if _UNFILLED.search(plain) else None
 
 
 def _automaton() -> ahocorasick.Automaton:
@@ -150,7 +159,7 @@ def unit_features(texts: list[str], tables, separators: str = "", hashes: bool =
     ustart = begin[starts]
     uend = np.concatenate((ustart[1:], [cp.size]))
     owner_at = np.cumsum([0] + [len(t) + 1 for t in texts])
-    out = {"start": ustart, "end": uend, "n": n, "words": h, "first": starts, "owner": np.searchsorted(owner_at, ustart, side="right") - 1, "joined": joined, "base": owner_at}
+    out = {"start": ustart, "end": uend, "n": n, "words": h, "first": starts, "owner": np.searchsorted(owner_at, ustart, side="right") - 1, "chars": chars, "char_first": first[starts], "joined": joined, "base": owner_at}
     if not hashes:
         return out
     key = mix64(np.add.reduceat(mix64(h + inner.astype(np.uint64) * _M2), starts))
@@ -195,6 +204,7 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             bound = np.concatenate(([0], start[1:]))
             suspects = np.unique(np.searchsorted(start, hits, side="right") - 1) if hits else []
             residue = np.zeros(start.size, bool)
+            marked = np.add.reduceat(tables[2][f["chars"]] == 3, f["char_first"]) > 0
             for u in suspects:
                 u = max(int(u), 0)
                 a = int(start[u])
@@ -202,7 +212,10 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 while a > o and joined[a - 1] not in "\n\r   " and a > bound[u] - 3:
                     a -= 1
                 text = re.split(r"[\n\r  \x85]", joined[a : int(end[u])])[0].strip()
-                residue[u] = is_residue(text)
+                found = residue_kind(text)
+                residue[u] = found is not None
+                if found:
+                    marked[u] = found == "mark"
             keys = f["key"].view(np.int64)
             fresh = np.zeros(start.size, bool)
             for i, (k, r) in enumerate(zip(keys.tolist(), residue.tolist())):
@@ -217,16 +230,19 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 told = words[a : a + n][~classes[a : a + n]] if g else None
                 payload.append(None if told is None else told.tobytes() if told.size * 2 >= n else b"")
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids[lo:hi][f["owner"]], pa.int64()), pa.array(keys), pa.array(f["sim"].view(np.int64), mask=~fresh), pa.array(payload, pa.binary()), pa.array(residue)],
-                ["id", "key", "sim", "words", "residue"],
+                [pa.array(ids[lo:hi][f["owner"]], pa.int64()), pa.array(keys), pa.array(f["sim"].view(np.int64), mask=~fresh), pa.array(payload, pa.binary()), pa.array(residue), pa.array(marked)],
+                ["id", "key", "sim", "words", "residue", "marked"],
             )
             lo = hi
 
 
 def document_units(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``(id, key, sim, words, residue)`` of every unit; ``sim`` and ``words`` come with the first unit of a key in each task."""
+    """``(id, key, sim, words, residue, marked)`` of every unit; ``sim`` and ``words`` come with the first unit of a key in each task.
+
+    ``marked``: of residue, that a field or blank value alone makes it so; of other units, that they hold a mark of a field.
+    """
     rows = pick(docs, id=id_col, text=text_col).filter("id is not null and text is not null and text <> ''")
-    return spread(rows).mapInArrow(_units, "id long, key long, sim long, words binary, residue boolean")
+    return spread(rows).mapInArrow(_units, "id long, key long, sim long, words binary, residue boolean, marked boolean")
 
 
 def _tables_of(rows: DataFrame) -> DataFrame:
@@ -246,8 +262,57 @@ def _similar(threshold: float):
                 ub, cb = np.unique(b, return_counts=True)
                 _, i, j = np.intersect1d(ua, ub, assume_unique=True, return_indices=True)
                 common = int(np.minimum(ca[i], cb[j]).sum())
-                keep.append(common >= threshold * (a.size + b.size - common))
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep, pa.bool_())), batch.column(1).filter(pa.array(keep, pa.bool_()))], ["key", "source"])
+                keep.append(common + 1e-9 >= threshold * (a.size + b.size - common))
+            yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(keep, pa.bool_())) for i in (0, 1)], ["key", "field"])
+
+    return run
+
+
+def rarest_words(words: list[bytes], common: np.ndarray, rank: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Prefixes of units in one order of words: ``(unit, token)``, of n words the rarest ``n - ceil(threshold n) + 1``.
+
+    Units whose likeness is at least ``threshold`` share a token of their
+    prefixes, whatever the order is.  ``common`` (sorted) and ``rank`` put
+    frequent words last, so that few other units share one.  A word that occurs
+    again is another word.
+    """
+    flat = np.frombuffer(b"".join(words), np.uint32)
+    n = np.array([len(w) // 4 for w in words], np.int64)
+    owner = np.repeat(np.arange(n.size), n)
+    flat = flat[np.lexsort((flat, owner))]
+    at = np.arange(flat.size)
+    fresh = np.ones(flat.size, bool)
+    fresh[1:] = (flat[1:] != flat[:-1]) | (owner[1:] != owner[:-1])
+    nth = at - np.maximum.accumulate(np.where(fresh, at, 0))
+    token = flat.astype(np.uint64) | (nth.astype(np.uint64) << np.uint64(32))
+    place = np.searchsorted(common, flat)
+    known = np.append(common, np.uint32(0))[place] == flat
+    known &= place < common.size
+    order = np.lexsort((token, np.where(known, np.append(rank, 0)[place], 0), owner))
+    size = np.minimum(n, n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1)
+    first = np.concatenate(([0], np.cumsum(n)[:-1])).astype(np.int64)
+    kept = order[at - np.repeat(first, n) < np.repeat(size, n)]
+    return owner[kept], mix64(token[kept]).view(np.int64)
+
+
+def _word_order(known: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Words of a bounded sample of units that occur in it more than once, with their counts."""
+    step = max(1, known.count() // SAMPLED_UNITS)
+    sample = known.filter(F.pmod("key", F.lit(step)) == 0).select("words").limit(2 * SAMPLED_UNITS).collect()
+    words, counts = np.unique(np.frombuffer(b"".join(r["words"] for r in sample), np.uint32), return_counts=True)
+    return words[counts > 1], counts[counts > 1]
+
+
+def _prefixes(order: tuple[np.ndarray, np.ndarray], threshold: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = batch.column(1).to_pylist()
+            if not words:
+                continue
+            owner, token = rarest_words(words, *order, threshold)
+            offsets = np.searchsorted(owner, np.arange(len(words) + 1)).astype(np.int32)
+            tokens = pa.ListArray.from_arrays(pa.array(offsets), pa.array(token))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(w) // 4 for w in words], pa.int32()), batch.column(2), tokens], ["key", "n", "marked", "tokens"])
 
     return run
 
@@ -261,24 +326,34 @@ def residue_documents(docs: DataFrame, id_col: str, text_col: str, similarity: f
     columns are ignored.  Long texts are read whole.
     """
     units = materialize(document_units(docs, id_col, text_col))
-    known = units.filter("sim is not null").groupBy("key").agg(F.first("sim").alias("sim"), F.first("words").alias("words"), F.max("residue").alias("residue"))
+    known = units.filter("sim is not null").groupBy("key").agg(F.first("sim").alias("sim"), F.first("words").alias("words"), F.max("residue").alias("residue"), F.coalesce(F.min(F.when(F.col("residue"), F.col("marked"))), F.max("marked")).alias("marked"))
     known = materialize(known)
     # a unit of fewer than four words, or mostly of numbers and names, says too little for likeness: it counts where a pattern matched it itself
     known = known.filter(F.octet_length("words") >= 4 * 4)
-    labelled = materialize(known.filter("residue").select("key", "sim", "words"))
+    labelled = materialize(known.filter("residue").select("key", "sim", "words", F.col("marked").alias("field")))
     frontier = labelled
+    prefixes = _prefixes(_word_order(known), similarity)
+    schema = "key long, n int, marked boolean, tokens array<long>"
+    pool = known.filter("not residue").select("key", "sim", "words", "marked")
+    rare = materialize(pool.select("key", "words", "marked").mapInArrow(prefixes, schema))
     for _ in range(max_rounds):
         small = rows_at_most(frontier, BROADCAST_ROWS)
-        probe = _tables_of(frontier.select(F.col("key").alias("source"), "sim", F.col("words").alias("w2"))).withColumnRenamed("sim", "s2")
-        pool = _tables_of(known.filter("not residue").select("key", "sim", "words"))
-        met = pool.join(F.broadcast(probe) if small else probe, "slot").filter((F.bit_count(F.col("sim").bitwiseXOR(F.col("s2"))) <= RADIUS))
-        pairs = met.select("key", "source", "words", "w2").dropDuplicates(["key", "source"])
-        new = pairs.mapInArrow(_similar(similarity), "key long, source long").select("key").distinct().join(labelled.select("key"), "key", "left_anti")
-        frontier = materialize(new.join(known, "key").select("key", "sim", "words"))
+        probe = _tables_of(frontier.select(F.col("key").alias("source"), F.col("sim").alias("s2"), "sim", "field")).drop("sim")
+        met = _tables_of(pool.select("key", "sim", "marked")).join(F.broadcast(probe) if small else probe, "slot").filter(F.bit_count(F.col("sim").bitwiseXOR(F.col("s2"))) <= RADIUS)
+        probe = frontier.select("key", "words", F.col("field").alias("marked")).mapInArrow(prefixes, schema).select(F.col("key").alias("source"), F.col("n").alias("m"), F.col("marked").alias("field"), F.explode("tokens").alias("token"))
+        shared = rare.select("key", "n", "marked", F.explode("tokens").alias("token")).join(F.broadcast(probe) if small else probe, "token").filter(F.least("n", "m") + 1e-9 >= similarity * F.greatest("n", "m"))
+        near = met.select("key", "source", "marked", "field").union(shared.select("key", "source", "marked", "field"))
+        near = materialize(near.filter("marked or not field").select("key", "source", "field").distinct())
+        few = rows_at_most(near, BROADCAST_ROWS)
+        pairs = pool.select("key", "words").join(F.broadcast(near) if few else near, "key").join(frontier.select(F.col("key").alias("source"), "field", F.col("words").alias("w2")), ["source", "field"])
+        moved = pairs.select("key", "field", "words", "w2").mapInArrow(_similar(similarity), "key long, field boolean").groupBy("key").agg(F.min("field").alias("field"))
+        had = labelled.groupBy("key").agg(F.min("field").alias("had"))
+        new = moved.join(had, "key", "left").filter("had is null or had and not field").select("key", "field")
+        frontier = materialize(new.join(known, "key").select("key", "sim", "words", "field"))
         if frontier.isEmpty():
             break
         labelled = materialize(labelled.union(frontier))
-    keys = labelled.select("key")
+    keys = labelled.select("key").distinct()
     near = units.filter("not residue").join(F.broadcast(keys) if rows_at_most(keys, BROADCAST_ROWS) else keys, "key").select("id", "residue")
     hit = units.filter("residue").select("id", "residue").union(near)
     return hit.groupBy("id").agg(F.count("*").alias("n_units"), F.count_if("residue").alias("n_trusted"))

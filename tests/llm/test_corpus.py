@@ -201,6 +201,31 @@ def test_label_moves_to_near_units(spark, monkeypatch):
     del rows
 
 
+def test_near_wording_is_found(spark):
+    rest = "could not be found on any of the old servers of this quiet place."
+    field = "The {{building}} stands near the river in the western part of this old district and is kept by its council"
+    texts = {
+        1: f"Error 404: the page you asked for {rest}", 2: f"Sorry, the page we asked for {rest}", 3: f"Sorry, the page we asked for {rest[:-1]} today", 4: "Sorry, the map of this old place could not be drawn by any of our servers.",
+        5: f"{field}.", 6: f"{field.replace('{{building}}', 'building')}.", 7: f"{field.replace('{{building}}', '((building))').replace('western', '{eastern}')}.",
+    }
+    assert [i for i, t in texts.items() if residue.is_residue(t)] == [1, 5]
+    got = {r.id: (r.n_units, r.n_trusted) for r in residue.residue_documents(spark.createDataFrame(list(texts.items()), "Id long, Doc string"), "Id", "Doc").collect()}
+    assert got == {1: (1, 1), 2: (1, 0), 3: (1, 0), 5: (1, 1), 7: (1, 0)}
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(0, 12), min_size=4, max_size=30), st.lists(st.tuples(st.integers(0, 29), st.integers(0, 15)), max_size=4), st.lists(st.integers(0, 15), unique=True, max_size=6))
+def test_like_units_share_a_rare_word(a, changes, common):
+    b = list(a)
+    for place, word in changes:
+        b[place % len(b)] = word
+    common = np.sort(np.array(common, np.uint32))
+    owner, token = residue.rarest_words([np.array(x, np.uint32).tobytes() for x in (a, b)], common, np.arange(common.size), 0.8)
+    shared = sum(min(a.count(w), b.count(w)) for w in set(a))
+    if shared >= 0.8 * (len(a) + len(b) - shared) - 1e-9:
+        assert set(token[owner == 0]) & set(token[owner == 1])
+
+
 # quality ---------------------------------------------------------------------------------
 
 PROSE = "The old town lies on the river and was built by the king. It has a market that is held in the spring. Many of the people who live there work in the harbour."
