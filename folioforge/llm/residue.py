@@ -64,11 +64,15 @@ _FILLER = re.compile(
 # The words of the common pseudo-Latin filler.
 LATIN = set("lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna magnis aliqua urna donec velit fusce porta cursus nulla morbi lectus sapien quis nonum nonummy vestib vestibulum ornare enim ad minim veniam nostrud".split())
 REPEATED = set("blah bla test foo bar baz word xxx asdf text qwerty abc yada".split())
+# A part of every way a unit can match _FIELD, _UNFILLED, _NOTICE or _FILLER, in lower case and without blanks (a quotation
+# left out may put one anywhere). The last three are letters that match i and s where case is ignored.
 _TRIGGERS = (
-    "{ <% ${ %( @@ __ &lt; < goes here javascript script scripting noscript error erreur fehler denied permission revision timed unavailable traceback fatal technical reach answer browser loop expansion exceeded session "
-    "placeholder dummy sample todo click replace added follow coming your  ipsum lorem dolor velit urna blah bla bla test test foo bar word word xxx tbd ??? ___ xx .... dd/mm filled [ n.n. # gefunden not found page you upstream"
-).split(" ")
-_EXTRA = ["goes here", "bla bla", "test test", "foo bar", "word word", "text text", "asdf asdf", "qwerty", "yada yada", "00/00", "not found", "page you", "your "]
+    "{ < &lt; ${ %( @@ __ # [ goes tbd tba ??? ___ xx .... dd/mm 00/00 filled n.n. "
+    "script js browser error erreur fehler loop expansion exceeded timed unavailable found forbidden gateway denied permission expired revision page gefunden fatal traceback technical reach answer upstream "
+    "placeholder follow dummy sample your added todo click replace coming \u0130 \u0131 \u017f"
+).split()
+#: Words of LATIN and REPEATED, standing alone, that a unit of filler has at least.
+FILLER_WORDS = 3
 
 
 def is_residue(unit: str) -> bool:
@@ -96,16 +100,36 @@ def residue_kind(unit: str) -> str | None:
 
 
 def _automaton() -> ahocorasick.Automaton:
+    """Triggers with value 0, words of filler with their length."""
     a = ahocorasick.Automaton()
-    for t in {*_TRIGGERS, *_EXTRA}:
-        if t and t not in ("not", "here", "found", "page", "you", "bla", "test", "foo", "bar", "word", "#", "<", "[", "{"):
-            a.add_word(t, len(t))
-    for t in ("{", "<", "[", "#"):
-        a.add_word(t, 1)
+    for w in LATIN | REPEATED:
+        a.add_word(w, len(w))
+    for t in _TRIGGERS:
+        a.add_word(t, 0)
     a.make_automaton()
     return a
 
 
+def _letters() -> np.ndarray:
+    """Whether a character below 0x250 is a letter, as in the words of ``residue_kind``."""
+    return np.array([re.match(r"[^\W\d_]", chr(c)) is not None for c in range(0x250)])
+
+
+def suspects(joined: str, start: np.ndarray, triggers: ahocorasick.Automaton, letter: np.ndarray) -> np.ndarray:
+    """Units that may be residue: those with a trigger, or with a few words of filler; no unit that ``residue_kind`` takes is left out."""
+    low = joined.lower()
+    if len(low) != len(joined):
+        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in joined)
+    hits = np.array(list(triggers.iter(low)), np.int64).reshape(-1, 2)
+    unit = np.maximum(np.searchsorted(start, hits[:, 0], side="right") - 1, 0)
+    word = hits[:, 1] > 0
+    cp = np.frombuffer(f" {low} ".encode("utf-32-le", "surrogatepass"), np.uint32)  # one place further on
+    edge = np.append(letter, False)[np.minimum(cp, letter.size)]
+    whole = word & ~edge[hits[:, 0] + 2] & ~edge[hits[:, 0] + 1 - hits[:, 1]]
+    filler = np.bincount(unit[whole], minlength=start.size) >= FILLER_WORDS
+    return np.union1d(unit[~word], np.flatnonzero(filler))
+
+
 def _unit_tables() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     low, word = _tables()
     word = word.copy()
@@ -181,7 +205,7 @@ def unit_features(texts: list[str], tables, separators: str = "", hashes: bool =
 
 
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    tables, triggers = _unit_tables(), _automaton()
+    tables, triggers, letter = _unit_tables(), _automaton(), _letters()
     seen: set[int] = set()
     for batch in batches:
         ids, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist()
@@ -197,16 +221,11 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             f = unit_features(part, tables)
             joined, start, end = f["joined"], f["start"], f["end"]
-            low = joined.lower()
-            exact = len(low) == len(joined)
-            hits = [e for e, _ in triggers.iter(low if exact else "".join(c.lower() if len(c.lower()) == 1 else c for c in joined))]
             # what stands before a unit's first word (an opening brace, a dash) belongs to it
             bound = np.concatenate(([0], start[1:]))
-            suspects = np.unique(np.searchsorted(start, hits, side="right") - 1) if hits else []
             residue = np.zeros(start.size, bool)
             marked = np.add.reduceat(tables[2][f["chars"]] == 3, f["char_first"]) > 0
-            for u in suspects:
-                u = max(int(u), 0)
+            for u in suspects(joined, start, triggers, letter).tolist():
                 a = int(start[u])
                 o = int(f["base"][f["owner"][u]])
                 while a > o and joined[a - 1] not in "\n\r   " and a > bound[u] - 3:

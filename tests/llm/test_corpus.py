@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 import pytest
-from hypothesis import given, settings
+from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
@@ -201,6 +201,22 @@ def test_label_moves_to_near_units(spark, monkeypatch):
     del rows
 
 
+FILLER = st.lists(st.sampled_from(sorted(residue.LATIN | residue.REPEATED | {"Kim", "7", "x“y”"})), min_size=4, max_size=9).map(" ".join) | st.lists(st.sampled_from(["abc", "Foo", "bar"]), min_size=4, max_size=6).map(" ".join)
+
+
+@settings(max_examples=600, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.one_of(FILLER, *(st.from_regex(p) for p in (residue._FIELD, residue._UNFILLED, residue._NOTICE, residue._FILLER))))
+def test_residue_is_suspected(unit):
+    if residue.is_residue(unit):
+        assert residue.suspects(unit + "\n", np.array([0]), residue._automaton(), residue._letters()).tolist() == [0]
+
+
+def test_every_residue_unit_is_tested(spark):
+    texts = ["Born: TBA", "abc abc abc abc", "This text does not work without JS.", "Sed enim ad minim veniam nostrud quis.", "Magna aliqua nulla morbi. Lectus sapien quis nonum.", "403 Forbidden", "502 Bad Gateway", "A quiet river runs through the old town."]
+    docs = spark.createDataFrame(list(enumerate(texts)), "Id long, Doc string")
+    assert {r.id: r.n_units for r in residue.residue_documents(docs, "Id", "Doc").collect()} == {0: 1, 1: 1, 2: 1, 3: 1, 4: 2, 5: 1, 6: 1}
+
+
 def test_near_wording_is_found(spark):
     rest = "could not be found on any of the old servers of this quiet place."
     field = "The {{building}} stands near the river in the western part of this old district and is kept by its council"
