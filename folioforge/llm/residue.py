@@ -244,19 +244,18 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     fresh[i] = True
             words = (f["words"] >> np.uint64(32)).astype(np.uint32)
             classes = (f["words"] == _NUMBER) | (f["words"] == _NAME)
-            payload = []
-            for a, n, g in zip(f["first"].tolist(), f["n"].tolist(), fresh.tolist()):
-                told = words[a : a + n][~classes[a : a + n]] if g else None
-                payload.append(None if told is None else told.tobytes() if told.size * 2 >= n else b"")
+            payload = [words[a : a + n][~classes[a : a + n]].tobytes() if g else None for a, n, g in zip(f["first"].tolist(), f["n"].tolist(), fresh.tolist())]
+            # SimHashes of units mostly of numbers and names are much alike: those units go by the prefix index alone
+            vague = 2 * np.add.reduceat(classes.astype(np.int64), f["first"]) > f["n"]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids[lo:hi][f["owner"]], pa.int64()), pa.array(keys), pa.array(f["sim"].view(np.int64), mask=~fresh), pa.array(payload, pa.binary()), pa.array(residue), pa.array(marked)],
+                [pa.array(ids[lo:hi][f["owner"]], pa.int64()), pa.array(keys), pa.array(f["sim"].view(np.int64), mask=~fresh | vague), pa.array(payload, pa.binary()), pa.array(residue), pa.array(marked)],
                 ["id", "key", "sim", "words", "residue", "marked"],
             )
             lo = hi
 
 
 def document_units(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``(id, key, sim, words, residue, marked)`` of every unit; ``sim`` and ``words`` come with the first unit of a key in each task.
+    """``(id, key, sim, words, residue, marked)`` of every unit; ``words`` and, unless most words are numbers or names, ``sim`` come with the first unit of a key in each task.
 
     ``marked``: of residue, that a field or blank value alone makes it so; of other units, that they hold a mark of a field.
     """
@@ -336,18 +335,19 @@ def _prefixes(order: tuple[np.ndarray, np.ndarray], threshold: float):
     return run
 
 
-def residue_documents(docs: DataFrame, id_col: str, text_col: str, similarity: float = 0.8, max_rounds: int = 8) -> DataFrame:
+def residue_documents(docs: DataFrame, id_col: str, text_col: str, similarity: float = 0.8, max_rounds: int | None = None) -> DataFrame:
     """One row ``(id, n_units, n_trusted)`` for every document with residue.
 
     ``n_units`` counts its residue units, ``n_trusted`` those matched by a
     pattern themselves.  Null and empty texts and null ids take no part, an id
     counts once however many rows carry it, an empty table gives none, other
-    columns are ignored.  Long texts are read whole.
+    columns are ignored.  Long texts are read whole.  Labels move until none is
+    added, or ``max_rounds`` times.
     """
     units = materialize(document_units(docs, id_col, text_col))
-    known = units.filter("sim is not null").groupBy("key").agg(F.first("sim").alias("sim"), F.first("words").alias("words"), F.max("residue").alias("residue"), F.coalesce(F.min(F.when(F.col("residue"), F.col("marked"))), F.max("marked")).alias("marked"))
+    known = units.filter("words is not null").groupBy("key").agg(F.first("sim").alias("sim"), F.first("words").alias("words"), F.max("residue").alias("residue"), F.coalesce(F.min(F.when(F.col("residue"), F.col("marked"))), F.max("marked")).alias("marked"))
     known = materialize(known)
-    # a unit of fewer than four words, or mostly of numbers and names, says too little for likeness: it counts where a pattern matched it itself
+    # a unit of fewer than four telling words says too little for likeness: it counts where a pattern matched it itself
     known = known.filter(F.octet_length("words") >= 4 * 4)
     labelled = materialize(known.filter("residue").select("key", "sim", "words", F.col("marked").alias("field")))
     frontier = labelled
@@ -355,10 +355,10 @@ def residue_documents(docs: DataFrame, id_col: str, text_col: str, similarity: f
     schema = "key long, n int, marked boolean, tokens array<long>"
     pool = known.filter("not residue").select("key", "sim", "words", "marked")
     rare = materialize(pool.select("key", "words", "marked").mapInArrow(prefixes, schema))
-    for _ in range(max_rounds):
+    for _ in itertools.count() if max_rounds is None else range(max_rounds):
         small = rows_at_most(frontier, BROADCAST_ROWS)
-        probe = _tables_of(frontier.select(F.col("key").alias("source"), F.col("sim").alias("s2"), "sim", "field")).drop("sim")
-        met = _tables_of(pool.select("key", "sim", "marked")).join(F.broadcast(probe) if small else probe, "slot").filter(F.bit_count(F.col("sim").bitwiseXOR(F.col("s2"))) <= RADIUS)
+        probe = _tables_of(frontier.filter("sim is not null").select(F.col("key").alias("source"), F.col("sim").alias("s2"), "sim", "field")).drop("sim")
+        met = _tables_of(pool.filter("sim is not null").select("key", "sim", "marked")).join(F.broadcast(probe) if small else probe, "slot").filter(F.bit_count(F.col("sim").bitwiseXOR(F.col("s2"))) <= RADIUS)
         probe = frontier.select("key", "words", F.col("field").alias("marked")).mapInArrow(prefixes, schema).select(F.col("key").alias("source"), F.col("n").alias("m"), F.col("marked").alias("field"), F.explode("tokens").alias("token"))
         shared = rare.select("key", "n", "marked", F.explode("tokens").alias("token")).join(F.broadcast(probe) if small else probe, "token").filter(F.least("n", "m") + 1e-9 >= similarity * F.greatest("n", "m"))
         near = met.select("key", "source", "marked", "field").union(shared.select("key", "source", "marked", "field"))

@@ -201,6 +201,21 @@ def test_label_moves_to_near_units(spark, monkeypatch):
     del rows
 
 
+def test_labels_move_on_and_names_do_not_hinder(spark):
+    words = "the page you asked for could not be read from any of our quiet old discs this very cold morning".split()
+    texts = [f"Error 404: {' '.join(words)}."]
+    words[2] = "one"
+    texts.append(f"Sorry, {' '.join(words)}.")
+    for i in range(0, 20, 2):
+        words[i : i + 2] = [f"{'abcdefghij'[i // 2]}lt", f"{'abcdefghij'[i // 2]}rk"]
+        texts.append(f"Sorry, {' '.join(words)}.")
+    names = "Kim Bo Al Roe Ute Max Tom Eva"
+    texts += [f"Error 404: the page you asked for at {names} {names} is gone.", f"Sorry 404: the page we asked for at {names} {names} is gone and so on.", f"Error: the page one asked for at {names} {names} is gone."]
+    assert [i for i, t in enumerate(texts) if residue.is_residue(t)] == [0, 12]
+    got = {r.id for r in residue.residue_documents(spark.createDataFrame(list(enumerate(texts)), "Id long, Doc string"), "Id", "Doc").collect()}
+    assert got == {*range(13), 14}
+
+
 FILLER = st.lists(st.sampled_from(sorted(residue.LATIN | residue.REPEATED | {"Kim", "7", "x“y”"})), min_size=4, max_size=9).map(" ".join) | st.lists(st.sampled_from(["abc", "Foo", "bar"]), min_size=4, max_size=6).map(" ".join)
 
 
