@@ -10,14 +10,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own: str | None = None
+_written: dict[str, SparkSession] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; a temporary folder only where that is unset (tests)."""
+    """The session's ``spark.checkpoint.dir``.
+
+    Where it is unset a session of this machine alone (``local[...]``, tests)
+    gets a temporary folder; a cluster has no folder of its own to share, so
+    there it is an error.
+    """
     global _own
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
     if _own is None:
         _own = tempfile.mkdtemp(prefix="folioforge-")
     return f"file://{_own}"
@@ -36,14 +45,32 @@ def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` once and read it back.
 
     The written table survives the loss of executors, is computed once however
-    often it is used, and starts a fresh lineage.  It is removed when the
-    Python process ends.
+    often it is used, and starts a fresh lineage.  It is removed by
+    :func:`release`, :func:`release_all` or when the Python process ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/folioforge/{uuid.uuid4().hex}"
     df.write.mode("overwrite").option("compression", "zstd").parquet(path)
-    atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    if not _written:
+        atexit.register(release_all)
+    _written[path] = spark
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_path = path
+    return out
+
+
+def release(df: DataFrame) -> None:
+    """Remove a table of :func:`materialize` that nothing reads any more; other frames are left alone."""
+    path = getattr(df, "_written_path", None)
+    if path in _written:
+        _remove(_written.pop(path), path)
+
+
+def release_all() -> None:
+    """Remove every table of :func:`materialize` (results that read them must have been written)."""
+    while _written:
+        path, spark = _written.popitem()
+        _remove(spark, path)
 
 
 def rows_at_most(df: DataFrame, bound: int) -> bool:
