@@ -19,7 +19,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.tables import pick
+from ..operators.tables import materialize, pick, rows_at_most
+
+#: Ids of oversized texts beyond this number meet their texts by a join.
+BROADCAST_ROWS = 200_000
 
 
 def byte_tokens(text: str) -> Column:
@@ -89,54 +92,67 @@ def pack_group(sizes: np.ndarray, capacity: int) -> np.ndarray:
 
 def _pieces(capacity: int):
     """Oversized texts cut at characters into runs of at most ``capacity`` tokens; the last holds the end token."""
+    names = ["id", "piece_no", "n_pieces", "start_byte", "n_tokens"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            who, no, start, size = [], [], [], []
-            for i, value in enumerate(batch.column(1).to_pylist()):
-                at, k = 0, 0
+            who, start, size, count = [], [], [], []
+            for i, value in enumerate(batch.column(1)):
+                raw, at, n = value.as_buffer(), 0, 0
+                data = memoryview(raw)
                 while True:
-                    left = len(value) + 1 - at
-                    end = len(value) if left <= capacity else at + capacity
-                    while end < len(value) and value[end] & 0xC0 == 0x80:
+                    left = len(data) + 1 - at
+                    end = len(data) if left <= capacity else at + capacity
+                    while end < len(data) and data[end] & 0xC0 == 0x80:
                         end -= 1
                     if end <= at and left > capacity:
                         raise ValueError("capacity is smaller than one character")
-                    who.append(i), no.append(k), start.append(at), size.append(end - at + (left <= capacity))
+                    who.append(i), start.append(at), size.append(end - at + (left <= capacity))
+                    n += 1
                     if left <= capacity:
                         break
-                    at, k = end, k + 1
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(who, pa.int32())), pa.array(no, pa.int32()), pa.array(start, pa.int64()), pa.array(size, pa.int64())], ["id", "piece_no", "start_byte", "n_tokens"])
+                    at = end
+                count.append(n)
+            n = np.array(count, np.int32)
+            no = np.arange(n.sum(), dtype=np.int32) - np.repeat(np.cumsum(n, dtype=np.int32) - n, n)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(who, pa.int32())), pa.array(no, pa.int32()), pa.array(np.repeat(n, n), pa.int32()), pa.array(start, pa.int64()), pa.array(size, pa.int64())], names)
 
     return run
 
 
+PACKED = "id long, piece_no int, n_pieces int, start_byte long, n_tokens long, container long"
+
+
 def pack_texts(docs: DataFrame, id_col: str, text_col: str, capacity: int, group_items: int = 2048) -> DataFrame:
     """Container of every text: ``(id, piece_no, n_pieces, start_byte, n_tokens, container)``.
 
     A text is split (``n_pieces`` > 1) only if it alone exceeds the capacity.
-    Null and empty texts have size 0 and take no container; repeated rows of an
-    id are packed once; rows with a null id are left out; an empty table gives
-    none; other columns are ignored.
+    Null and empty texts have size 0 and take no container; of several rows of
+    an id the longest text is packed, once; rows with a null id are left out; an
+    empty table gives none; other columns are ignored.
     """
     if capacity < 4:
         raise ValueError("capacity must hold a character")
-    rows = pick(docs, id=id_col, text=text_col).filter("id is not null and text is not null and text <> ''").withColumn("n_tokens", byte_tokens("text"))
-    small = rows.filter(F.col("n_tokens") <= capacity).select("id", F.lit(0).alias("piece_no"), F.lit(0).cast("long").alias("start_byte"), "n_tokens")
-    large = rows.filter(F.col("n_tokens") > capacity).select("id", F.col("text").cast("binary").alias("raw")).mapInArrow(_pieces(capacity), "id long, piece_no int, start_byte long, n_tokens long")
-    items = small.union(large).dropDuplicates(["id", "piece_no"])
-    groups = max(1, -(-rows.count() // group_items))
+    rows = pick(docs, id=id_col, text=text_col).filter("id is not null and text is not null and text <> ''").withColumn("n_tokens", byte_tokens("text")).withColumn("h", F.xxhash64("text"))
+    # sizes only; the longest text of an id, told from others of that length by its hash
+    sizes = materialize(rows.groupBy("id").agg(F.max(F.struct("n_tokens", "h")).alias("m")).select("id", "m.n_tokens", "m.h"))
+    small = sizes.filter(F.col("n_tokens") <= capacity).select("id", F.lit(0).alias("piece_no"), F.lit(1).alias("n_pieces"), F.lit(0).cast("long").alias("start_byte"), "n_tokens")
+    wanted = sizes.filter(F.col("n_tokens") > capacity).select("id", "h")
+    large = rows.filter(F.col("n_tokens") > capacity).join(F.broadcast(wanted) if rows_at_most(wanted, BROADCAST_ROWS) else wanted, ["id", "h"], "left_semi")
+    cut = large.select("id", F.col("text").cast("binary").alias("raw")).mapInArrow(_pieces(capacity), "id long, piece_no int, n_pieces int, start_byte long, n_tokens long")
+    items = materialize(small.union(cut.dropDuplicates(["id", "piece_no"])))
+    groups = max(1, -(-items.count() // group_items))
 
     def pack(table: pa.Table) -> pa.Table:
         ids, no = table.column("id").to_numpy(), table.column("piece_no").to_numpy()
         table = table.take(pa.array(np.lexsort((no, ids))))
         w = pack_group(table.column("n_tokens").to_numpy(), capacity)
         group = table.column("g").to_numpy().astype(np.int64)
-        return pa.table({"id": table.column("id"), "piece_no": table.column("piece_no"), "start_byte": table.column("start_byte"), "n_tokens": table.column("n_tokens"), "container": (group << 24) + w})
+        return pa.table({c: table.column(c) for c in ("id", "piece_no", "n_pieces", "start_byte", "n_tokens")} | {"container": (group << 24) + w})
 
-    packed = items.withColumn("g", F.pmod(F.xxhash64("id", "piece_no"), F.lit(groups)).cast("long")).groupBy("g").applyInArrow(pack, "id long, piece_no int, start_byte long, n_tokens long, container long")
-    pieces = large.groupBy("id").agg((F.max("piece_no") + 1).alias("n_pieces"))
-    return packed.join(pieces, "id", "left").select("id", "piece_no", F.coalesce("n_pieces", F.lit(1)).alias("n_pieces"), "start_byte", "n_tokens", "container")
+    # a given number of partitions is left alone, so small rows do not end up in one task
+    spread = items.withColumn("g", F.pmod(F.xxhash64("id", "piece_no"), F.lit(groups)).cast("long")).repartition(groups, "g")
+    return spread.groupBy("g").applyInArrow(pack, PACKED)
 
 
 def fill_report(packed: DataFrame, capacity: int) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.tables import materialize, pick, spread
-from .residue import is_residue
+from .residue import Trusted
 
 TYPES = ["prose", "list", "table", "junk"]
 COMMON = set("the of and a to in is was it for on with as by that at from an be are this which or had its not but has were he his they have been who will would their there one all also after when into no some than more other about only then".split())
@@ -31,14 +31,15 @@ _WORDS = re.compile(r"[^\W\d_]+")
 _BULLET = re.compile(r"^\s*(?:[-*+•·‣–◦▪]\s+|\(?\d{1,4}[.)]\s+|[a-zA-Z][.)]\s+)\S")
 _TERM_YEAR = re.compile(r"^.{2,60}\(\d{3,4}\)\s*$")
 _DEFINED = re.compile(r"^[^.!?]{2,50}\s[–—-]\s[^.!?]{2,80}$")
-_REFERENCE = re.compile(r"“[^”]+”.*\b(?:vol|no|pp?)\.\s*\d|\bISBN\b|\bpp\.\s*\d")
+_QUOTED = re.compile(r"“[^”]+”")
+_PLACE = re.compile(r"\b(?:vol|no|pp?)\.\s*\d")
+_BOOK = re.compile(r"\bISBN\b|\bpp\.\s*\d")
 _KEY_VALUE = re.compile(r"^[A-Z][\w ./-]{1,24}?(?:\s*[:=]\s|\t)\s*\S.{0,48}$")
 _COLUMNS = re.compile(r"\s*(?:\|\||\||;|\t)\s*|(?<=\S) {2,}(?=\S)")
 _CELL = re.compile(r"^\W*(?:n/?a|[-–—?]|[+-]?[\d.,:/]+\s*(?:%|[a-z]{1,3}\d?)?|\d+\s*[–-]\s*\d+)\W*$", re.I)
 _STYLE = re.compile(r"[\w-]+\s*[:=]\s*\"?#?[\w.%-]+\"?\s*[;}|/>]|\b(?:colspan|rowspan|bgcolor|cellpadding|align|style|class)=\"")
 _BROKEN = re.compile(r"Ã[\x80-\xbfĀ-˿‚ƒ]|Ã.|Â.|â€.|ï¿½|Ð[\x80-\xbf°µ]|[�\x00-\x08\x0e-\x1f\u200b\xad]")
 _VOWEL = re.compile(r"[aeiouyáéíóúàèìòùäöüâêîôûāēīōūãõåæø]", re.I)
-_UNITS = re.compile(r"(?<=[.!?])\s|[\n\r\x85\u2028\u2029]")
 _SEPARATED = re.compile(r"[;·•|]\s|,\s")
 _SEPARATOR = re.compile(r"[;·•,]\s")
 _CLUSTER = re.compile(r"[bcdfghjklmnpqrstvwxz]{5}")
@@ -113,7 +114,7 @@ def text_statistics(text: str) -> dict[str, float]:
         elif _CELL.match(line):
             cells += 1
             share_t += k
-        elif (k <= 2000 and _REFERENCE.search(line)) or _TERM_YEAR.match(line) or _BULLET.match(line):
+        elif _is_reference(line) or _TERM_YEAR.match(line) or _BULLET.match(line):
             share_l += k
         elif len(_STYLE.findall(line)) >= 2:
             share_j += k
@@ -162,6 +163,14 @@ def text_statistics(text: str) -> dict[str, float]:
     return s
 
 
+def _is_reference(line: str) -> bool:
+    """A quoted title followed by volume, number or pages, or an ISBN or pages alone; linear in the line's length."""
+    if _BOOK.search(line):
+        return True
+    quoted = _QUOTED.search(line) if "”" in line else None
+    return bool(quoted and _PLACE.search(line, quoted.end()))
+
+
 def _is_row(line: str) -> bool:
     """Whether a line is a row of cells: several parts, some of them figures or empty marks, or drawn bars."""
     if "|" not in line and "\t" not in line and ";" not in line and "  " not in line:
@@ -198,15 +207,16 @@ def pattern_of(s: dict[str, float]) -> int:
 
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    trusted = Trusted()
     for batch in batches:
         rows, patterns, residue = [], [], []
-        for text in batch.column(1).to_pylist():
+        texts = batch.column(1).to_pylist()
+        for lo in range(0, len(texts), 64):
+            residue += map(bool, trusted.spans(texts[lo : lo + 64]))
+        for text in texts:
             s = text_statistics(text)
-            p = pattern_of(s)
             rows.append([float(s[k]) for k in STATS])
-            patterns.append(p)
-            # residue pages are short or do not read as prose; longer prose is no case of ours
-            residue.append((not p & 1 or len(text) < 400) and any(is_residue(u) for u in _UNITS.split(text) if u.strip()))
+            patterns.append(pattern_of(s))
         cols = list(zip(*rows)) if rows else [[] for _ in STATS]
         yield pa.RecordBatch.from_arrays([batch.column(0)] + [pa.array(c, pa.float64()) for c in cols] + [pa.array(patterns, pa.int32()), pa.array(residue, pa.bool_())], ["id", *STATS, "pattern", "residue"])
 

@@ -1,11 +1,14 @@
 """Sentence boundaries across languages: a pushdown automaton over the marks of a text.
 
-The automaton reads only marks (end marks, quotation marks, brackets, breaks).
-Its stack holds the open quotations and brackets together with whether they
-opened the sentence; inside them no mark ends a sentence.  At depth zero an end
-mark ends the sentence unless the word before it is in the abbreviation trie,
-an initial, an ordinal or a list number, or what follows cannot begin a
-sentence.  Offsets are code points of the text as it stands.
+The automaton reads only marks (end marks, quotation marks, brackets, breaks, list
+marks).  One stack holds the open quotations and brackets together with whether
+they opened the sentence; inside them no mark ends a sentence.  Another holds the
+list levels: a number, letter or numeral at a sentence's start pushes a level,
+goes on with the one it continues (those inside it are popped) and never ends a
+sentence itself; a paragraph without a list mark pops them all.  At depth zero an
+end mark ends the sentence unless it belongs to a list mark, the word before it
+is in the abbreviation trie, an initial or an ordinal, or what follows cannot
+begin a sentence.  Offsets are code points of the text as it stands.
 """
 
 from __future__ import annotations
@@ -48,10 +51,42 @@ _MARK = re.compile(r"[.!?…。！？।॥؟۔｡;\u037e]+|[“”„«»‹›
 _BLANK = re.compile(r"\s*")
 _WORD = re.compile(r"(?:[^\W\d_][\wऀ-ॣ฀-๿’'²³-]*\.[^\S\n]?)*[^\W_][\wऀ-ॣ’'²³°-]*$|n°$")
 _FIRM = re.compile(r"(?:Ltd|Inc|Corp|Co|Jr|Sr|Bros|LLC|GmbH|KG|AG|S\.A)\b")
+_NESTING = re.compile(r"[“”„«»‹›「」『』()\[\]（）【】《》‘’\"{}]")
+_CLOSING = OPEN | {'"': '"'}
+_ITEM = re.compile(r"(\(?\d{1,3}|[a-zA-Z]|[ivxIVX]{1,4})[.)]\s")
 _LIST = re.compile(r"\s*(?:\(?\d{1,3}|[a-zA-Z]|[ivxIVX]{1,4})$")
-
-
-DEEPEST = 64
+_ROMAN = {"i": 1, "ii": 2, "iii": 3, "iv": 4, "v": 5, "vi": 6, "vii": 7, "viii": 8, "ix": 9, "x": 10, "xi": 11, "xii": 12}
+
+
+class Levels:
+    """Stack of the open list levels: kind of mark and the number reached."""
+
+    def __init__(self) -> None:
+        self.open: list[tuple[str, int]] = []
+
+    def readings(self, mark: str) -> list[tuple[str, int]]:
+        """What a list mark can be: a number, a letter's place, a numeral."""
+        word = mark.strip().lstrip("(")
+        if word.isdigit():
+            return [("digit", int(word))]
+        kind = "upper" if word.isupper() else "lower"
+        out = [(f"{kind} numeral", _ROMAN[word.lower()])] if word.lower() in _ROMAN else []
+        return out + [(kind, ord(word.lower()) - 96)] if len(word) == 1 else out
+
+    def enter(self, mark: str) -> bool:
+        """The level a mark continues becomes the innermost; a number, or a first letter or numeral, that continues none opens one.  Whether it did either."""
+        found = self.readings(mark)
+        for i in range(len(self.open) - 1, -1, -1):
+            kind, reached = self.open[i]
+            if (kind, reached + 1) in found:
+                self.open[i:] = [(kind, reached + 1)]
+                return True
+        first = next((f for f in found if f[1] == 1 or f[0] == "digit"), None)
+        if first:
+            kind, value = first  # a kind that is open already starts anew
+            at = next((i for i, (k, _) in enumerate(self.open) if k == kind), len(self.open))
+            self.open[at:] = [(kind, value)]
+        return first is not None
 
 
 class Trie:
@@ -91,25 +126,36 @@ TRIE = Trie({"always": ALWAYS, "number": [*NUMBERED, *(w.capitalize() for w in N
 
 
 def _pairs(par: str, lo: int, hi: int) -> dict[int, int]:
-    """Matching marks of the quotations and brackets of one paragraph; unmatched ones are dropped."""
+    """Matching marks of the quotations and brackets of one paragraph; unmatched ones are dropped.
+
+    ``waiting`` counts the open marks each closing mark would match, so a mark
+    without a partner costs nothing and any depth takes linear time.
+    """
     stack: list[tuple[str, int]] = []
+    waiting: dict[str, int] = {}
     match: dict[int, int] = {}
-    for m in re.finditer(r"[“”„«»‹›「」『』()\[\]（）【】《》‘’\"{}]", par[lo:hi]):
-        ch, at = m.group(), lo + m.start()
+    for m in _NESTING.finditer(par, lo, hi):
+        ch, at = m.group(), m.start()
         before = par[at - 1] if at > lo else " "
         after = par[at + 1] if at + 1 < hi else " "
         if ch == "’" and before.isalnum() and after.isalnum():
             continue
         if ch == "‘" and not (before.isspace() or before in "([“«„"):
             continue
-        k = next((i for i in range(len(stack) - 1, -1, -1) if (ch == '"' and stack[i][0] == '"') or ch in OPEN.get(stack[i][0], "")), None)
-        if k is not None and not (ch == "“" and stack[k][0] != "„"):
-            match[stack[k][1]] = at
-            del stack[k:]
+        if waiting.get(ch):
+            opened = -1
+            while opened < 0:  # what is open inside has no partner
+                mark, place = stack.pop()
+                closing = _CLOSING.get(mark, mark)
+                for c in closing:
+                    waiting[c] -= 1
+                if ch in closing:
+                    opened = place
+            match[opened] = at
         elif ch == '"' or (ch in OPEN and ch not in CLOSE):
             stack.append((ch, at))
-            if len(stack) > DEEPEST:  # an opening mark so far out has no partner
-                del stack[0]
+            for c in _CLOSING.get(ch, ch):
+                waiting[c] = waiting.get(c, 0) + 1
     return match
 
 
@@ -123,7 +169,7 @@ def _begins(text: str, at: int, hi: int) -> bool:
     return ch not in ",;:·)]}»”’%/&=+" and not (ch in "—–-" and text[at + 1 : at + 2].isspace())
 
 
-def _ends(text: str, at: int, end: int, start: int, hi: int) -> bool:
+def _ends(text: str, at: int, end: int, start: int, hi: int, levels: Levels) -> bool:
     """Whether the end marks ``text[at:end]`` at depth zero end the sentence begun at ``start``."""
     run = text[at:end]
     nxt = _BLANK.match(text, end, hi).end()
@@ -155,6 +201,9 @@ def _ends(text: str, at: int, end: int, start: int, hi: int) -> bool:
         return solid and (c in OPEN or c == '"' or (c.isupper() and not text[nxt + 1 : nxt + 2] == "."))
     if kind == "final":
         return not c.isdigit() and not _FIRM.match(text, nxt, hi)
+    listed = at - start < 12 and bool(_LIST.fullmatch(text[start:at]))
+    if listed and levels.enter(text[start:at]) and len(last) and not last.isdigit():
+        return False  # a letter or numeral of a list
     if last.isalpha() and last.upper() != last.lower() and (len(word) == 1 or not (word[-2].isalnum())):
         # initials and "z. B.": after one letter a capital goes on; after several (U.K.) it may begin a sentence
         dotted = word[-2:-1] == "." and word[-3:-2].isupper()
@@ -164,11 +213,11 @@ def _ends(text: str, at: int, end: int, start: int, hi: int) -> bool:
     digits = re.search(r"(?<!\d)(?<![.,])\d{1,3}$", word)
     if digits:
         before = text[max(start, at - 40) : at - len(digits.group())]
-        if at - start < 12 and (not before.strip() or _LIST.fullmatch(text[start:at])):
+        if at - start < 12 and (not before.strip() or listed):
             return False  # a list number
         if len(digits.group()) < 3 and (ORDINAL_NEXT.match(text, nxt, hi) or (c.isupper() and ORDINAL_PREV.search(before))):
             return False
-    elif at - start < 12 and _LIST.fullmatch(text[start:at]) and len(text[start:at].strip()) == 1:
+    elif listed and len(text[start:at].strip()) == 1:
         return False
     return True
 
@@ -211,11 +260,22 @@ def _thai(text: str, start: int, at: int) -> bool:
 
 def sentence_spans(text: str) -> list[tuple[int, int]]:
     """Spans ``[start, end)`` of the sentences of one text, blanks at either end left out."""
-    spans: list[tuple[int, int]] = []
+    return [(a, b) for a, b, _ in leveled_spans(text)]
+
+
+def leveled_spans(text: str) -> list[tuple[int, int, int]]:
+    """Spans of the sentences of one text, with the list level each stands on (0: no list)."""
+    spans: list[tuple[int, int, int]] = []
+    levels = Levels()
     lo, breaks = 0, [(m.start(), m.end()) for m in _PARA.finditer(text)]
     for stop, resume in [*breaks, (len(text), len(text))]:
         start = _BLANK.match(text, lo, stop).end()
         if start < stop:
+            item = _ITEM.match(text, start, stop)
+            if item is None:
+                levels.open.clear()
+            elif text[item.end() - 2] == ")":
+                levels.enter(item[1])
             match = _pairs(text, start, stop)
             at = start
             while at < stop:
@@ -229,39 +289,39 @@ def sentence_spans(text: str) -> list[tuple[int, int]]:
                 elif text[p].isspace():
                     done = _thai(text, start, p) or (text[at : at + 1] > "\u0e00" and text[at : at + 1] < "\u0e80")
                 elif text[p] in ".!?…。！？।॥؟۔｡;\u037e":
-                    done = _ends(text, p, at, start, stop)
+                    done = _ends(text, p, at, start, stop, levels)
                 else:
                     continue
                 if done:
                     nxt = _BLANK.match(text, at, stop).end()
                     end = p if text[p].isspace() else at
                     if end > start:
-                        spans.append((start, end))
+                        spans.append((start, end, len(levels.open)))
                     start = at = nxt
             if start < stop:
                 end = stop
                 while text[end - 1].isspace():
                     end -= 1
-                spans.append((start, end))
+                spans.append((start, end, len(levels.open)))
         lo = resume
     return spans
 
 
 def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        who, no, a, b, s = [], [], [], [], []
+        who, no, a, b, n, s = [], [], [], [], [], []
         for i, text in enumerate(batch.column(1).to_pylist()):
-            for k, (x, y) in enumerate(sentence_spans(text)):
-                who.append(i), no.append(k), a.append(x), b.append(y), s.append(text[x:y])
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(who, pa.int32())), pa.array(no, pa.int32()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(s, pa.string())], ["id", "sentence_no", "start_at", "end_at", "sentence"])
+            for k, (x, y, z) in enumerate(leveled_spans(text)):
+                who.append(i), no.append(k), a.append(x), b.append(y), n.append(z), s.append(text[x:y])
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(who, pa.int32())), pa.array(no, pa.int32()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(n, pa.int32()), pa.array(s, pa.string())], ["id", "sentence_no", "start_at", "end_at", "list_level", "sentence"])
 
 
 def sentences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Sentences ``(id, sentence_no, start_at, end_at, sentence)`` of every text.
+    """Sentences ``(id, sentence_no, start_at, end_at, list_level, sentence)`` of every text.
 
     One pass, no shuffle; a text is read whole whatever its length.  Null,
     empty and blank texts give no rows, repeated rows give repeated sentences,
     rows with a null id are left out, other columns are ignored.
     """
     rows = pick(docs, id=id_col, text=text_col).filter("id is not null and text is not null and text <> ''")
-    return spread(rows).mapInArrow(_run, "id long, sentence_no int, start_at long, end_at long, sentence string")
+    return spread(rows).mapInArrow(_run, "id long, sentence_no int, start_at long, end_at long, list_level int, sentence string")

@@ -3,14 +3,18 @@
 *Terms*: words get a likelihood under every subject and under "no subject" by
 expectation maximisation on the sentences of labelled documents (a document's
 labels are the prior of its sentences, with room for missing and wrong ones).
-*Structure*: a document's evidence is the share of its subject-bearing sentences,
-list items and cells that fall to each subject, the ranks of those shares and
-their number.  *Source*: the words of the title and its affixes.
+A document's term evidence is the share of its subject-bearing sentences, list
+items and cells that fall to each subject.  *Source*: the words of the title,
+read like a sentence.  *Structure*: the rank of a subject's share and its distance
+from the next larger and smaller one, how many sentences bear any subject and how
+large a part of the text they are.
 
 The chain asks for the subjects in turn, most frequent first; every classifier
-also sees the decisions before it, which is how co-occurrence enters.  Hand-made
-labels are incomplete, so each probability is calibrated by the rate at which
-plain cases carry their label.  Beam search finds the best combination.
+also sees the decisions before it, which is how co-occurrence enters.  The
+response to a share is learnt as a step function over even knots, pooled over
+subjects.  Hand-made labels are incomplete, so each probability is calibrated by
+the rate at which a document's leading subject is among its labels.  Beam search
+finds the best combination.
 """
 
 from __future__ import annotations
@@ -21,12 +25,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.tables import pick, spread
+from ..operators.tables import materialize, pick, spread
 from .quality import fold, text_statistics
-from .residue import _NAME, _NUMBER, _UNITS_OF, _unit_tables, is_residue, unit_features
+from .residue import _NAME, _NUMBER, Trusted, _unit_tables, unit_features
 
 BEAM = 6
 SHRINK = 4.0
@@ -116,7 +120,7 @@ class Chain:
     shared: np.ndarray  # weights common to all subjects
     order: list[int]
     weights: list[np.ndarray]
-    carry: np.ndarray  # rate at which a plain case carries its label
+    carry: np.ndarray  # rate at which a document's leading subject is among its labels
 
     def probabilities(self, j: int, x: np.ndarray, decided: np.ndarray) -> np.ndarray:
         c = self.order[j]
@@ -141,19 +145,23 @@ class Chain:
         return state[np.arange(n), score.argmax(axis=1)] > 0
 
 
+KNOTS = np.arange(0.05, 0.66, 0.05)
+
+
 def _pooled(x: np.ndarray, c: int) -> np.ndarray:
-    """What holds alike for all subjects: the share, with steps about a quarter, and the largest other share."""
+    """What holds alike for all subjects: the share over even knots, its rank and its distance from the largest other share."""
     k = (x.shape[1] - 2) // 2
     share = x[:, :k]
     mine = share[:, c]
-    others = np.delete(share, c, axis=1).max(axis=1) if k > 1 else np.zeros(len(x))
-    return np.stack([np.ones(len(x)), mine, np.minimum(mine, 0.3), *(np.tanh((mine - t) * 30) for t in (0.13, 0.2, 0.27)), others], axis=1)
+    others = np.delete(share, c, axis=1) if k > 1 else np.zeros((len(x), 1))
+    above = (others > mine[:, None]).sum(axis=1)
+    return np.stack([np.ones(len(x)), mine, *(1 / (1 + np.exp(-np.clip((mine - t) * 60, -30, 30))) for t in KNOTS), others.max(axis=1), above == 0, np.minimum(above, 4)], axis=1)
 
 
 def _view(x: np.ndarray, c: int) -> np.ndarray:
-    """What is the subject's own: a level, its title evidence, how much of the text bears any subject."""
+    """What is the subject's own: a level, its title evidence, how many sentences bear a subject and what part of the text they are."""
     k = (x.shape[1] - 2) // 2
-    return np.stack([np.ones(len(x)), x[:, k + c], x[:, 2 * k + 1]], axis=1)
+    return np.stack([np.ones(len(x)), x[:, k + c], x[:, 2 * k], x[:, 2 * k + 1]], axis=1)
 
 
 def features(terms: Terms, texts: list[str], titles: list[str], tables) -> np.ndarray:
@@ -164,7 +172,8 @@ def features(terms: Terms, texts: list[str], titles: list[str], tables) -> np.nd
     for part, values in enumerate((texts, titles)):
         if not any(_has_word(t) for t in values):
             continue
-        words, sentence, owner = _sentences([t or "" for t in values], tables)
+        # the words of a title are not names because they are written large
+        words, sentence, owner = _sentences(values if part == 0 else [(t or "").lower() for t in values], tables)
         p = terms.posteriors(words, sentence, owner.size)
         # a sentence, item or cell belongs to a subject only where that outweighs all else together
         sure = p >= 0.5
@@ -210,8 +219,8 @@ def fit_chain(texts: list[str], titles: list[str], labels: np.ndarray) -> Chain:
     order = np.argsort(-labels.sum(axis=0), kind="stable").tolist()
     weights, carry = [], np.ones(k)
     shared = _logistic(np.concatenate([_pooled(x, c) for c in range(k)]), labels.T.ravel(), ridge=0.1)
-    plain = x[:, :k] >= 0.35
-    whole = (labels[plain].sum() + 3) / (plain.sum() + 4) if plain.any() else 0.8
+    plain = (x[:, :k] > 0) & (x[:, :k] == x[:, :k].max(axis=1, keepdims=True))
+    whole = (labels[plain].sum() + 3) / (plain.sum() + 4)
     for j, c in enumerate(order):
         rate = (labels[plain[:, c], c].sum() + 10 * whole) / (plain[:, c].sum() + 10)
         carry[c] = min(1.0, max(0.3, rate))
@@ -229,30 +238,28 @@ def _reads_as_prose(text: str) -> bool:
     if not text.isascii() and _SUSPECT.search(text):
         return False
     words = low.split()
-    return len(words) < 40 or len(set(words)) * 4 > len(words)
+    return len(set(words)) * 4 > len(words)
 
 
-def _usable(text: str) -> str:
-    """The text without residue; empty for junk."""
-    prose = _reads_as_prose(text)
-    if not prose:
-        s = text_statistics(text)
-        if s["junk_share"] >= 0.5 or s["symbol_ratio"] >= 0.25 or s["broken_share"] >= 0.03 or s["odd_word_share"] >= 0.25 or s["repeat_share"] >= 0.7:
-            return ""
-    if len(text) < 600 or not prose:
-        parts = [u for u in _UNITS_OF.split(text) if u.strip()]
-        kept = [u for u in parts if not is_residue(u)]
-        if len(kept) < len(parts):
-            return "\n".join(kept) if len(kept) > 2 else ""
-    return text
+def _usable(texts: list[str], trusted: Trusted) -> list[str]:
+    """The texts without their residue units, whatever their length; empty for junk."""
+    out = []
+    for text in trusted.without(texts):
+        if not _reads_as_prose(text):
+            s = text_statistics(text)
+            if s["junk_share"] >= 0.5 or s["symbol_ratio"] >= 0.25 or s["broken_share"] >= 0.03 or s["odd_word_share"] >= 0.25 or s["repeat_share"] >= 0.7:
+                text = ""
+        out.append(text)
+    return out
 
 
-def assign(docs: DataFrame, labels: DataFrame, subjects: list[str], id_col: str, text_col: str, title_col: str, max_labelled: int = 20_000) -> DataFrame:
+def assign(docs: DataFrame, labels: DataFrame, subjects: list[str], id_col: str, text_col: str, title_col: str, max_labelled: int = 20_000, max_labelled_bytes: int = 64 << 20) -> DataFrame:
     """``(id, subject)`` of every document.
 
     ``labels(id, subject)`` are hand-made; the chain is fitted on at most
-    ``max_labelled`` labelled documents, taken in hash order (the only bound:
-    every document is classified, whole).  Null, empty, blank, junk and
+    ``max_labelled`` labelled documents of together ``max_labelled_bytes``, taken
+    in hash order, none longer than a 64th of that (the only bounds: every
+    document is classified, whole).  Null, empty, blank, junk and
     residue-only texts, and null ids, have no subject; null titles count as
     empty; an id with several texts has the subjects of each; repeated rows and
     labels count once; unknown subjects in ``labels`` are ignored; without any
@@ -264,9 +271,14 @@ def assign(docs: DataFrame, labels: DataFrame, subjects: list[str], id_col: str,
     rows = rows.filter(F.col("id").isNotNull() & F.col("text").rlike(r"[\p{L}\p{N}]"))
     wanted = pick(labels, id="id", subject="subject").filter(F.col("subject").isin(subjects)).groupBy("id").agg(F.collect_set("subject").alias("labels"))
     wanted = wanted.orderBy(F.xxhash64("id"), "id").limit(max_labelled)
-    sample = rows.join(wanted, "id").dropDuplicates(["id"]).orderBy("id").toArrow()
-    texts = [_usable(t) for t in sample.column("text").to_pylist()]
-    keep = [i for i, t in enumerate(texts) if t]
+    held = rows.filter(F.octet_length("text") <= max_labelled_bytes // 64).join(F.broadcast(wanted), "id").groupBy("id", "labels").agg(F.min(F.struct("text", "title")).alias("t"))
+    held = materialize(held.select("id", "labels", "t.text", "t.title", F.octet_length("t.text").alias("size")))
+    # at most max_labelled short rows in one window
+    upto = F.sum("size").over(Window.orderBy(F.xxhash64("id"), "id"))
+    chosen = held.select("id", "size").withColumn("upto", upto).filter(F.col("upto") <= max_labelled_bytes).select("id")
+    sample = held.join(F.broadcast(chosen), "id").orderBy("id").toArrow()
+    texts = _usable(sample.column("text").to_pylist(), Trusted())
+    keep = [i for i, t in enumerate(texts) if _has_word(t)]
     if not keep:
         return spark.createDataFrame([], schema)
     place = {s: i for i, s in enumerate(subjects)}
@@ -277,12 +289,12 @@ def assign(docs: DataFrame, labels: DataFrame, subjects: list[str], id_col: str,
     chain = fit_chain([texts[i] for i in keep], [titles[i] for i in keep], y)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = _unit_tables()
+        tables, trusted = _unit_tables(), Trusted()
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for lo in range(0, batch.num_rows, 128):
-                use = [_usable(t) for t in batch.column(1).slice(lo, 128).to_pylist()]
-                at = [i for i, t in enumerate(use) if t]
+                use = _usable(batch.column(1).slice(lo, 128).to_pylist(), trusted)
+                at = [i for i, t in enumerate(use) if _has_word(t)]
                 if not at:
                     continue
                 title = batch.column(2).slice(lo, 128).to_pylist()

@@ -70,6 +70,19 @@ def test_long_repeats_are_linear(unit):
     assert time.monotonic() - began < 20
 
 
+def test_nesting_of_any_depth():
+    deep = "“" + "(" * 500 + "One came. Two left." + ")" * 500 + "” Then we left."
+    assert len(at(deep)) == 1 or at(deep)[-1].endswith("left.")
+    assert sentences._pairs("“" + "[" * 300 + "x”", 0, 303) == {0: 302}
+
+
+def test_list_levels():
+    text = "1. First thing. 2. Second thing:\n\na) one part. b) other part.\n\nI. Inner part. II. More.\n\n3. Third thing.\n\nPlain text. More of it."
+    got = [(text[a:b], n) for a, b, n in sentences.leveled_spans(text)]
+    assert got[0] == ("1. First thing.", 1) and got[1][1] == 1 and got[-1][1] == 0 and got[-2] == ("Plain text.", 0)
+    assert dict(got)["3. Third thing."] == 1 and dict(got)["I. Inner part."] == 3 and dict(got)["II. More."] == 3
+
+
 def test_sentence_frame(spark):
     rows = [(1, "One came. Two left.", "x"), (1, "One came. Two left.", "x"), (2, None, None), (3, "", "x"), (None, "A.", "x"), (4, "Long one. " * 50_000, "x")]
     got = sentences.sentences(spark.createDataFrame(rows, "doc_id long, text string, id string"), "doc_id", "text")
@@ -185,20 +198,76 @@ def test_residue_documents(spark):
     assert residue.residue_documents(spark.createDataFrame([], "Id long, Doc string"), "Id", "Doc").count() == 0
 
 
-def test_label_moves_to_near_units(spark, monkeypatch):
-    base = "The requested document is gone from this quiet old server and nobody knows when or whether it will be back here"
-    monkeypatch.setattr(residue, "_NOTICE", residue.re.compile("requested document is gone"))
-    other = base.replace("requested document", "wanted document")
-    rows = [(1, base), (2, other), (3, "Something else entirely stands in this text about rivers and towns and bridges.")]
-    tables = residue._unit_tables()
-    f = residue.unit_features([base, other], tables)
-    distance = int(np.bitwise_count(f["sim"][0] ^ f["sim"][1]))
-    units = spark.createDataFrame([(int(k), int(s), w) for k, s, w in zip(f["key"].view(np.int64), f["sim"].view(np.int64), (b"a" * 32, b"a" * 32))], "key long, sim long, words binary")
-    slots = [{r.slot for r in residue._tables_of(units).filter(F.col("key") == int(k)).collect()} for k in f["key"].view(np.int64)]
-    assert all(len(x) == 10 for x in slots)
-    if distance <= residue.RADIUS:
-        assert slots[0] & slots[1]
-    del rows
+FRAMES = [
+    ("Click to edit this quiet old paragraph and then tell us what is known about the river of your town", 2),
+    ("Replace this paragraph with what you have found about the river and the bridge of this quiet old town", 2),
+    ("The database error has come up again on this quiet old server and nobody will mend it before tomorrow morning", 2),
+]
+
+
+def test_planted_copies_without_a_pattern(spark):
+    """Labels reach planted copies no pattern matches, and no other sentence."""
+    rng = random.Random(31)
+    made_up = lambda: "".join(rng.choice("bdfgklmnprst") + rng.choice("aeiou") for _ in range(3))
+    docs, planted, ordinary = {}, set(), set()
+    for trusted, breaks in FRAMES:
+        docs[len(docs)] = trusted
+        assert residue.is_residue(trusted)
+        for i in range(40):
+            words = trusted.split()
+            words[breaks] = made_up()
+            for j in range(i % 4):
+                words[-1 - j] = made_up()
+            copy = " ".join(words)
+            assert not residue.is_residue(copy)
+            a, b = trusted.lower().split(), copy.lower().split()
+            shared = sum(min(a.count(w), b.count(w)) for w in set(a))
+            (planted if shared >= 0.8 * (len(a) + len(b) - shared) else ordinary).add(len(docs))
+            docs[len(docs)] = f"A river runs by the old town. {copy}. It was built by hand." if i % 8 < 4 else copy
+    for i in range(60):
+        ordinary.add(len(docs))
+        docs[len(docs)] = " ".join(rng.choice("river town bridge hand old built quiet market north king stone water".split()) for _ in range(12))
+    for line in ("Access Denied.", "Access Road.", "Denied access."):  # of short lines only the same words are near, and names count
+        (planted if line == "Denied access." else ordinary).add(len(docs))
+        docs[len(docs)] = line
+    ordinary.discard(len(docs) - 3)
+    got = {r.id: r.n_trusted for r in residue.residue_documents(spark.createDataFrame(list(docs.items()), "Id long, Doc string"), "Id", "Doc").collect()}
+    found = {i for i, trusted in got.items() if trusted == 0}
+    assert len(planted) >= 60 and len(ordinary) > 100 and planted <= found, planted - found
+    # copies beyond the likeness may be near to other copies, ordinary sentences to none
+    assert not {i for i in ordinary & found if docs[i].split()[0] not in ("Click", "Replace", "The", "A")}
+
+
+HELD_OUT = [
+    "500 Internal Server Error", "HTTP 429 Too Many Requests", "{name} was born in {city}.", "Insert description here", "HTTP/1.1 404 Not Found", "Error 403: Forbidden", "Please enable cookies and reload the page.", "Sample text", "Your text here",
+    "Type your headline here", "${first_name} ${last_name}", "Sorry, something went wrong.", "An unexpected error occurred.", "Connection timed out", "Fatal error: Uncaught exception in module", "This page is under construction", "Loading...", "Undefined index: title", "Failed to load resource",
+]
+ORDINARY = [
+    "The court refused the request and the conflict was gone by 1450.", "In 404 the city was taken by the army.", "The museum holds 500 not found elsewhere.", "The set {a, b} has two members.", "Loading of the ship took two days.", "The service was unavailable during the war.",
+    "The gateway was built in 502.", "She sorted the cookies on the table.", "The site is under construction by the council.", "He typed the letter here.", "A sample of the text was found.", "The script of the play was required reading.",
+]
+
+
+def test_held_out_lines():
+    assert all(map(residue.is_residue, HELD_OUT)) and not any(map(residue.is_residue, ORDINARY))
+
+
+@pytest.mark.parametrize("length", [150, 399, 401, 599, 601, 723, 3000, 30_000])
+def test_length_does_not_matter(spark, length):
+    """Residue is cut out, and seen, in texts of any length; so are quotations."""
+    error = "Error 404: the page you asked for could not be found."
+    prose = "The old town lies on the river and was built by the king of the land. "
+    text = (prose * (length // len(prose) + 1))[:length].rstrip() + ". " + error + " " + prose
+    trusted = residue.Trusted()
+    assert error not in trusted.without([text])[0] and prose.strip() in trusted.without([text])[0]
+    df = spark.createDataFrame([(1, text), (2, prose * (length // 50))], "Id long, Doc string")
+    assert {r.id: r.residue for r in quality.statistics(df, "Id", "Doc").collect()} == {1: True, 2: False}
+    assert not residue.is_residue(f"He said “{prose * (length // 70)}{error}” and left")
+
+
+def test_long_reference_lines():
+    line = "“A history of the town” in the old journal, " + "with much that is said of it, " * 200 + "vol. 12"
+    assert quality.text_statistics(line)["list_share"] == 1 and quality.text_statistics("“" * 50_000 + " x")["n_lines"] == 1
 
 
 def test_labels_move_on_and_names_do_not_hinder(spark):
@@ -237,7 +306,7 @@ def test_near_wording_is_found(spark):
     field = "The {{building}} stands near the river in the western part of this old district and is kept by its council"
     texts = {
         1: f"Error 404: the page you asked for {rest}", 2: f"Sorry, the page we asked for {rest}", 3: f"Sorry, the page we asked for {rest[:-1]} today", 4: "Sorry, the map of this old place could not be drawn by any of our servers.",
-        5: f"{field}.", 6: f"{field.replace('{{building}}', 'building')}.", 7: f"{field.replace('{{building}}', '((building))').replace('western', '{eastern}')}.",
+        5: f"{field}.", 6: f"{field.replace('{{building}}', 'building')}.", 7: f"{field.replace('{{building}}', '((building))').replace('western', '{eastern4}')}.",
     }
     assert [i for i, t in texts.items() if residue.is_residue(t)] == [1, 5]
     got = {r.id: (r.n_units, r.n_trusted) for r in residue.residue_documents(spark.createDataFrame(list(texts.items()), "Id long, Doc string"), "Id", "Doc").collect()}
