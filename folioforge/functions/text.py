@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..wikitext import cleanup, expr, values
+
 TOKEN = r"[\p{L}\p{M}\p{N}]{2,99}"
 
 
@@ -59,8 +62,10 @@ def html_escape(text: Column) -> Column:
 
 
 def html_unescape(text: Column) -> Column:
-    """The five entities of XML, ``&amp;`` last."""
-    out = text
+    """The entities of XML, decimal numbers of characters up to 126 and the no-break blank, ``&amp;`` last."""
+    out = F.replace(text, F.lit("&nbsp;"), F.lit("\u00a0"))
+    for code in (*range(33, 38), *range(39, 48), *range(58, 65), *range(91, 97), *range(123, 127)):
+        out = F.replace(out, F.lit(f"&#{code};"), F.lit(chr(code)))
     for a, b in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
         out = F.replace(out, F.lit(a), F.lit(b))
     return out
@@ -68,14 +73,14 @@ def html_unescape(text: Column) -> Column:
 
 def highlight(text: Column, terms: Column) -> Column:
     """Escaped text with every whole word of ``terms`` (an array of words) in bold."""
-    pattern = F.concat(F.lit(r"(?i)(?<![\p{L}\p{M}\p{N}])("), F.array_join(terms, "|"), F.lit(r")(?![\p{L}\p{M}\p{N}])"))
+    quoted = F.transform(terms, lambda t: F.regexp_replace(t, r"([^\p{L}\p{M}\p{N}])", r"\\$1"))
+    pattern = F.concat(F.lit(r"(?i)(?<![\p{L}\p{M}\p{N}])("), F.array_join(quoted, "|"), F.lit(r")(?![\p{L}\p{M}\p{N}])"))
     return F.when(F.size(terms) > 0, F.regexp_replace(html_escape(text), pattern, F.lit("<b>$1</b>"))).otherwise(html_escape(text))
 
 
 # markup ------------------------------------------------------------------
 
-BLOCK_TAGS = "div p table caption tr td th li ul ol dl dd dt blockquote center section figure figcaption pre hr h1 h2 h3 h4 h5 h6".split()
-EXTENSION_TAGS = "timeline mapframe maplink gallery imagemap graph score templatedata categorytree".split()
+BLOCK_TAGS, EXTENSION_TAGS = cleanup.BLOCKS, cleanup.EXTENSIONS
 
 
 def strip_comments(c: Column) -> Column:
@@ -87,7 +92,7 @@ def strip_refs(c: Column) -> Column:
 
 
 def strip_extensions(c: Column) -> Column:
-    return F.regexp_replace(c, rf"(?is)<({'|'.join(EXTENSION_TAGS)})\b[^>]*>.*?</\1>", "")
+    return F.regexp_replace(c, rf"(?is)<({'|'.join(EXTENSION_TAGS)})\b(?:[^>/]|/(?!>))*>.*?</\1>", "")
 
 
 def breaks(c: Column) -> Column:
@@ -176,8 +181,7 @@ def is_prose(c: Column, least_words: int) -> Column:
 def drop_value(c: Column) -> Column:
     """Whether a parameter value of a missing template is debris rather than text."""
     n, low = F.octet_length(c), F.lower(c)
-    control = "oui non yes no true false left right center none auto noredlink variant size check nocat hlist plainlist sidebar navbox transparent cellpadding cellspacing border nowrap colspan rowspan".split()
-    words = "user nocat lang format style class width height align border thumb vignette redresse gauche droite upright frameless baseline verifierlesarguments".split()
+    control, words = sorted(values.SWITCHES | values.LAYOUT), sorted(values.PARAMETER_WORDS)
     return (
         (n < 2)
         | c.rlike(r"^[\{\[]..")
@@ -196,7 +200,7 @@ def drop_value(c: Column) -> Column:
 def line_is_debris(c: Column) -> Column:
     """Line rules that hold whatever the line's origin."""
     n, low = F.octet_length(c), F.lower(c)
-    leaked = "nowrap noprint plainlist hlist plainlinks vcard navbox sidebar infobox collapsible autocollapse collapsed mw-collapsible vevent geoshape".split()
+    leaked = cleanup.LEAKED
     return (
         F.substring_index(low, " ", 1).isin(leaked)
         | ((n < 40) & c.endswith("="))
@@ -270,6 +274,16 @@ def safe_mod(a: Column, b: Column) -> Column:
     return F.when(b != 0, a % b).otherwise(F.lit(0.0))
 
 
+def expression(c: Column) -> Column:
+    """Values of expressions in a text column, as ``#expr`` shows them."""
+
+    @F.pandas_udf("string")
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: None if x is None else expr.expression(x))
+
+    return run(c)
+
+
 def magic_dates(ts: Column) -> dict[str, Column]:
     """The CURRENT* words at a time given as a column."""
     return {

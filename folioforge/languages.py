@@ -23,12 +23,23 @@ def language_table(spark: SparkSession, extra: list[tuple[str, str, str]] = (("s
     return spark.createDataFrame([(c, e, n, rtl(n)) for c, e, n in rows], "code string, english string, native string, rtl boolean")
 
 
+def default_row(available: DataFrame) -> DataFrame:
+    """One row ``code``: English where available, else the first code in order."""
+    return available.orderBy(F.col("code") != "en", "code").select("code").limit(1)
+
+
 def default_language(available: DataFrame) -> str | None:
-    """English where available, else the first code in order."""
-    row = available.orderBy(F.col("code") != "en", "code").select("code").first()
+    row = default_row(available).first()
     return row and row["code"]
 
 
+def named(rows: DataFrame, table: DataFrame, code_col: str) -> DataFrame:
+    """Rows with ``language`` and ``rtl`` of their code: an unknown code stands for itself and runs from left to right."""
+    dim = table.select(F.col("code").alias(code_col), "english", F.col("rtl").alias("_rtl"))
+    joined = rows.join(F.broadcast(dim), code_col, "left")
+    return joined.withColumn("language", F.coalesce("english", code_col)).withColumn("rtl", F.coalesce("_rtl", F.lit(False))).drop("english", "_rtl")
+
+
 def discover(spark: SparkSession, suffix: str = "_docs_search") -> DataFrame:
     """Codes of the databases named ``<code><suffix>``; hyphens in names are written as underscores."""
     names = [(d.name,) for d in spark.catalog.listDatabases()]

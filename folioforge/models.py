@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from pathlib import Path
@@ -148,24 +149,33 @@ class OnnxEmbedder:
         return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
 
 
+_WORD = re.compile(r"\S+")
+_SECTION = re.compile(r"(?:\r\n|\n){2,}")
+
+
+def chunk_spans(doc: str, most: int = 200) -> list[tuple[int, int]]:
+    """Where the chunks of a text lie: whole sections packed to at most ``most`` words, longer sections cut."""
+    spans: list[tuple[int, int]] = []
+    first, end, held, at = 0, 0, 0, 0
+    for stop in [*((m.start(), m.end()) for m in _SECTION.finditer(doc)), (len(doc), len(doc))]:
+        words = [(m.start(), m.end()) for m in _WORD.finditer(doc, at, stop[0])]
+        at = stop[1]
+        if held and held + len(words) > most:
+            spans.append((first, end))
+            held = 0
+        while len(words) > most:
+            spans.append((words[0][0], words[most - 1][1]))
+            words = words[most:]
+        if words:
+            first, end, held = words[0][0] if not held else first, words[-1][1], held + len(words)
+    if held:
+        spans.append((first, end))
+    return spans
+
+
 def chunk_text(doc: str, title: str = "", most: int = 200) -> list[str]:
-    """Sections packed to at most ``most`` words, the title in front of each."""
-    chunks, words = [], []
-    for section in (s for s in doc.replace("\r\n", "\n").split("\n\n") if s.strip()):
-        w = section.split()
-        while len(w) > most:
-            if words:
-                chunks.append(words)
-                words = []
-            chunks.append(w[:most])
-            w = w[most:]
-        if words and len(words) + len(w) > most:
-            chunks.append(words)
-            words = []
-        words = words + w
-    if words:
-        chunks.append(words)
-    return [f"{title}\n{' '.join(c)}".strip() for c in chunks]
+    """Texts of the chunks, the title in front of each."""
+    return [f"{title}\n{' '.join(doc[a:b].split())}".strip() for a, b in chunk_spans(doc, most)]
 
 
 def chunk_embed(make: Callable[[], Embedder], doc: Column, title: Column, most: int = 200) -> Column:

@@ -91,18 +91,24 @@ def last_written(rows: DataFrame, keys: list[str], *newest: Column | str) -> Dat
     return rows.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
 
 
-def follow(moves: DataFrame, source: str = "source", target: str = "target", max_hops: int = 10) -> DataFrame:
-    """``(source, final, hops)``: the end of each chain of redirects; cycles and chains beyond ``max_hops`` are left out."""
-    from .tables import materialize
-
-    edges = materialize(moves.select(F.col(source).alias("source"), F.col(target).alias("target")).filter("source <> target").dropDuplicates(["source"]))
-    ends = edges.select(F.col("source").alias("target"))
-    at = edges.select("source", F.col("target").alias("at"), F.lit(1).alias("hops"))
-    finished = None
-    for _ in range(max_hops):
-        done = at.join(ends.withColumnRenamed("target", "at"), "at", "left_anti").select("source", F.col("at").alias("final"), "hops")
-        finished = done if finished is None else finished.unionByName(done)
-        at = materialize(at.join(edges.select(F.col("source").alias("at"), F.col("target").alias("next")), "at").select("source", F.col("next").alias("at"), (F.col("hops") + 1).alias("hops")).filter("source <> at"))
-        if at.isEmpty():
+def follow(moves: DataFrame, source: str = "source", target: str = "target") -> DataFrame:
+    """``(source, final, hops)``: the end of each chain of redirects, however long; what runs into a cycle is left out.
+
+    Every round doubles the hops of all open rows, so a chain of n links takes
+    about log2(n) rounds; what is open after that many rounds of all links is in
+    a cycle or leads to one.  Of several targets of a source the smallest counts.
+    """
+    from .tables import materialize, release
+
+    edges = moves.select(F.col(source).alias("source"), F.col(target).alias("target")).filter("source <> target").groupBy("source").agg(F.min("target").alias("target"))
+    edges = materialize(edges)
+    ends = edges.select(F.col("source").alias("target"), F.lit(True).alias("goes_on"))
+    at = materialize(edges.join(ends, "target", "left").select("source", F.col("target").alias("at"), F.lit(1).cast("long").alias("hops"), F.col("goes_on").isNull().alias("done")))
+    for _ in range(max(1, edges.count()).bit_length() + 1):
+        if at.filter("not done").isEmpty():
             break
-    return finished
+        step = at.select(F.col("source").alias("at"), F.col("at").alias("then"), F.col("hops").alias("more"), F.col("done").alias("ended"))
+        moved = at.filter("not done").join(step, "at").select("source", F.col("then").alias("at"), (F.col("hops") + F.col("more")).alias("hops"), F.col("ended").alias("done"))
+        former, at = at, materialize(at.filter("done").unionByName(moved))
+        release(former)
+    return at.filter("done").select("source", F.col("at").alias("final"), "hops")

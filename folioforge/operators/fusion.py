@@ -5,35 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .keyword import SearchOptions, matches, parse_query, pool, rank_score
+from .keyword import SearchOptions, fetch, matches, parse_query, pool, rank_score
 from .snippet import snippet_column
+from .vectors import best_chunk, best_per_article
 
 CONSTANT, SCALE = 60, 1e6
 
 
-def cosine(a: Column, b: Column) -> Column:
-    """Cosine of two float arrays in doubles; 0 where one is all zero."""
-    dot = F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    length = norm(a) * norm(b)
-    return F.when(length > 0, dot / length).otherwise(F.lit(0.0))
-
-
-def best_chunk(vectors: DataFrame, id_col: str, vec_col: str, query: list[float]) -> DataFrame:
-    """``(doc_id, score, chunk_no)``: the article's score is that of its best chunk.
-
-    Computed inside the row with array functions, so nothing is exploded or
-    shuffled; chunks of another length than the query, with missing or
-    non-finite values do not count.
-    """
-    q = F.array(*[F.lit(float(x)) for x in query])
-    dim = len(query)
-    usable = lambda v: (F.size(v) == dim) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x))
-    sims = F.transform(F.col(vec_col), lambda v: F.when(usable(v), cosine(v, q)))
-    scored = vectors.select(F.col(id_col).alias("doc_id"), sims.alias("sims")).withColumn("score", F.array_max("sims")).filter("score is not null")
-    return scored.select("doc_id", "score", (F.array_position("sims", F.col("score")) - 1).cast("int").alias("chunk_no"))
-
-
 def vector_rank(score: Column) -> Column:
     """0 to 100000; negative similarities become 0 after pooling."""
     return F.when(score.isNotNull(), F.greatest(F.lit(0), F.floor(score * 100_000))).cast("int")
@@ -70,20 +48,25 @@ def positions(fused: DataFrame, most: int) -> DataFrame:
     return best.withColumn("fpos", F.row_number().over(Window.orderBy(F.desc("score"), "doc_id")))
 
 
-def hybrid_search(docs: DataFrame, q: str, query_vector: list[float] | None, id_col: str = "Id", title_col: str = "Title", text_col: str = "Doc", vec_col: str = "Vec", options: SearchOptions = SearchOptions()) -> DataFrame:
-    """``(fpos, score, krank, vrank, doc_id, title, snippet)`` of at most ``max_fetch`` rows.
+def hybrid_search(docs: DataFrame, q: str, query_vector: list[float] | None, id_col: str = "Id", title_col: str = "Title", text_col: str = "Doc", vec_col: str = "Vec", options: SearchOptions = SearchOptions(), index: str | None = None) -> DataFrame:
+    """``(fpos, score, krank, vrank, doc_id, title, snippet)`` of at most ``max_fetch`` articles, one row each.
 
-    Pools are top-k over the documents, fusion sees at most their two sizes, and
-    titles and texts are joined back to the final rows before snippets are cut.
+    With ``index`` (the folder of written indexes) only the postings of the
+    query's words and the nearest cells are read, without it texts and vectors
+    are scanned.  Pools are top-k over the articles, fusion sees at most their
+    two sizes; titles and texts are read for the final ids alone.  Where no word
+    of the query stands in the text, the snippet begins at the best chunk.
     """
+    from .index import search_text_index, search_vector_index
+
+    spark = docs.sparkSession
     query = parse_query(q, options.min_word_length)
-    kw = pool(matches(docs, id_col, text_col, query, options), options.pool)
+    kw = pool(search_text_index(spark, index, query, options) if index else matches(docs, id_col, text_col, query, options), options.pool)
     if query_vector is None:
-        vec = kw.limit(0)
+        vec = kw.limit(0).withColumn("chunk_no", F.lit(None).cast("int"))
     else:
-        scored = best_chunk(docs, id_col, vec_col, query_vector).groupBy("doc_id").agg(F.max("score").alias("score"))
-        vec = pool(scored, options.vector_pool)
-    best = positions(fuse(kw, vec), options.max_fetch)
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(title_col).alias("title"), F.col(text_col).alias("text")).filter("text is not null").dropDuplicates(["doc_id"])
-    rows = texts.join(F.broadcast(best), "doc_id", "right")
-    return rows.select("fpos", "score", "krank", "vrank", "doc_id", "title", snippet_column("text", query.words).alias("snippet")).orderBy("fpos")
+        vec = pool(search_vector_index(spark, index, query_vector, options) if index else best_per_article(best_chunk(docs, id_col, vec_col, query_vector)), options.vector_pool)
+    best = positions(fuse(kw, vec), options.max_fetch).join(vec.select("doc_id", "chunk_no"), "doc_id", "left")
+    held = best.collect()  # at most max_fetch rows
+    rows = fetch(docs, id_col, title_col, text_col, [r["doc_id"] for r in held]).join(F.broadcast(spark.createDataFrame(held, best.schema)), "doc_id", "right")
+    return rows.select("fpos", "score", "krank", "vrank", "doc_id", "title", snippet_column("text", query.words, options.snippet, chunk_col="chunk_no").alias("snippet")).orderBy("fpos")

@@ -8,7 +8,9 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-LONGEST = 400
+from ..models import chunk_spans
+
+LONGEST = 230
 
 
 def best_window(text: str, words: list[str], longest: int = LONGEST) -> str:
@@ -54,14 +56,43 @@ def windows(text: str, words: list[str], longest: int = LONGEST, parts: int = 2)
     return " … ".join(out)
 
 
-def snippet_column(text: str, words: list[str], longest: int = LONGEST, style: str = "querybest") -> Column:
-    """Snippet of a text column ("querybest": one window, "querymultiple": several); use it on rows that are already limited."""
+def chunk_window(text: str, words: list[str], longest: int, chunk: int) -> str:
+    """The best window of the chunk that answered the query; the chunk's beginning where it holds none of the words."""
+    spans = chunk_spans(text)
+    if not spans:
+        return best_window(text, words, longest)
+    a, b = spans[min(chunk, len(spans) - 1)]
+    return best_window(text[a:b], words, longest)
+
+
+def snippet_column(text: str, words: list[str], longest: int = LONGEST, style: str = "querybest", chunk_col: str | None = None) -> Column:
+    """Snippet of a text column ("querybest": one window, "querymultiple": several); use it on rows that are already limited.
+
+    ``chunk_col`` names the chunk that made the row an answer by its vector: it
+    seeds the snippet where the whole text holds none of the words.
+    """
     if style not in ("querybest", "querymultiple"):
         raise ValueError("style must be querybest or querymultiple")
     cut = best_window if style == "querybest" else windows
+    any_word = re.compile(rf"(?i)(?<!\w)(?:{'|'.join(map(re.escape, words))})(?!\w)") if words else None
+
+    def one(t, chunk) -> str | None:
+        if t is None:
+            return None
+        if chunk is not None and not pd.isna(chunk) and not (any_word and any_word.search(t)):
+            return chunk_window(t, words, longest, int(chunk))
+        return cut(t, words, longest)
+
+    if chunk_col is None:
+
+        @F.pandas_udf("string")
+        def make(s: pd.Series) -> pd.Series:
+            return s.map(lambda t: one(t, None))
+
+        return make(F.col(text))
 
     @F.pandas_udf("string")
-    def make(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: None if t is None else cut(t, words, longest))
+    def seeded(s: pd.Series, c: pd.Series) -> pd.Series:
+        return pd.Series([one(t, k) for t, k in zip(s, c)])
 
-    return make(F.col(text))
+    return seeded(F.col(text), F.col(chunk_col))

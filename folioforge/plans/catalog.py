@@ -8,7 +8,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .. import languages
 from ..operators import build, fusion, keyword, progress, rerank
+from ..operators.vectors import best_chunk
+from ..sources import mediawiki
+from ..wikitext import cleanup, values
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -55,19 +59,17 @@ def count_id(s, d):
 WITH last AS (SELECT page_key, arg_max(redirect, byte_offset) AS redirect FROM pages_idx GROUP BY page_key)
 SELECT count(*) AS pages, count(*) FILTER (page_key LIKE '0:%' AND redirect = 0) AS articles, count(*) FILTER (page_key LIKE '0:%' AND redirect = 1) AS redirects FROM last""")
 def count_articles_redirects(s, d):
-    last = table(s, d, "pages_idx").groupBy("page_key").agg(F.max_by("redirect", "byte_offset").alias("redirect"))
-    main = F.col("page_key").startswith("0:")
-    return last.agg(F.count("*").alias("pages"), F.count_if(main & (F.col("redirect") == 0)).alias("articles"), F.count_if(main & (F.col("redirect") == 1)).alias("redirects"))
+    return mediawiki.index_counts(mediawiki.last_places(table(s, d, "pages_idx")))
 
 
 @case("SELECT page_key, max(byte_offset) AS byte_offset, arg_max(byte_length, byte_offset) AS byte_length, count(*) AS writes FROM pages_idx GROUP BY page_key")
 def dedupe_last_written(s, d):
-    return table(s, d, "pages_idx").groupBy("page_key").agg(F.max("byte_offset").alias("byte_offset"), F.max_by("byte_length", "byte_offset").alias("byte_length"), F.count("*").alias("writes"))
+    return mediawiki.last_places(table(s, d, "pages_idx")).select("page_key", "byte_offset", "byte_length", "writes")
 
 
 @case("SELECT DISTINCT page_key FROM pages_idx WHERE page_key >= '0:D' AND page_key < '0:P'")
 def key_range(s, d):
-    return table(s, d, "pages_idx").filter((F.col("page_key") >= "0:D") & (F.col("page_key") < "0:P")).select("page_key").distinct()
+    return mediawiki.key_range(table(s, d, "pages_idx"), "0:D", "0:P").select("page_key").distinct()
 
 
 @case("SELECT split_part(page_key, ':', 1) AS ns, count(*) AS n, count(DISTINCT page_key) AS keys FROM pages_idx GROUP BY ALL")
@@ -194,7 +196,7 @@ _QSQL = "[" + ", ".join(f"{x!r}::DOUBLE" for x in _QUERY) + "]"
 
 def _embedding_scores(s, d) -> DataFrame:
     vectors = table(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.array("embedding").alias("vec"))
-    return fusion.best_chunk(vectors, "id", "vec", _QUERY).select("doc_id", "score")
+    return best_chunk(vectors, "id", "vec", _QUERY).select("doc_id", "score")
 
 
 _VSQL = f"v AS (SELECT vec_id AS doc_id, list_cosine_similarity(embedding::DOUBLE[], {_QSQL}) AS score FROM embeddings)"
@@ -216,7 +218,7 @@ ok AS (SELECT doc_id, v FROM c WHERE len(v) = 64 AND len(list_filter(v, lambda x
 sim AS (SELECT doc_id, CASE WHEN list_sum(list_transform(v, lambda x: x::DOUBLE * x)) > 0 THEN list_cosine_similarity(v::DOUBLE[], {_QSQL}) ELSE 0 END AS s FROM ok)
 SELECT doc_id, floor(max(s) * 100000 + 1e-6)::BIGINT AS best FROM sim GROUP BY doc_id""")
 def vector_best_chunk(s, d):
-    scored = fusion.best_chunk(table(s, d, "wikivecs"), "Id", "Vec", _QUERY)
+    scored = best_chunk(table(s, d, "wikivecs"), "Id", "Vec", _QUERY)
     return scored.groupBy("doc_id").agg(F.floor(F.max("score") * 100_000 + 1e-6).alias("best"))
 
 
@@ -255,16 +257,85 @@ def hybrid_join_back(s, d):
     return table(s, d, "documents").select("doc_id", "source").join(F.broadcast(best), "doc_id", "right").select("doc_id", F.round("score", 4).alias("score"), "source")
 
 
-@case()
+def _article_bm25(source: str, words: list[str], tail: str) -> str:
+    """The ranking over articles: rows scored one by one, the best of an id counts."""
+    listed = ", ".join(f"'{w}'" for w in words)
+    toks = TOKENS.replace("lower(text)", "lower(Doc)")
+    return f"""
+WITH src AS (SELECT * FROM {source}),
+t AS (SELECT row_number() OVER () AS rid, Id AS doc_id, {toks} AS toks FROM src WHERE Doc IS NOT NULL),
+fig AS (SELECT count(*)::DOUBLE AS n, avg(len(toks)) AS avgdl FROM t),
+p AS (SELECT rid, doc_id, w, len(list_filter(toks, lambda x: x = w))::DOUBLE AS tf, list_position(toks, w) - 1 AS first_pos, len(toks) AS dl FROM t, (SELECT unnest([{listed}]) AS w)),
+df AS (SELECT w, count(*) FILTER (tf > 0)::DOUBLE AS df FROM p GROUP BY w),
+sc AS (SELECT rid, doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl)) * (1 + 0.5 / (1 + first_pos / 50.0))) AS score FROM p JOIN df USING (w), fig WHERE tf > 0 GROUP BY rid, doc_id),
+m AS (SELECT doc_id, max(score) AS score FROM sc WHERE score > 0 GROUP BY doc_id),
+page AS (SELECT Id, Title, Doc FROM (SELECT *, row_number() OVER (PARTITION BY Id ORDER BY Title NULLS FIRST, Doc) AS r FROM src WHERE Doc IS NOT NULL) WHERE r = 1),
+{tail}"""
+
+
+_ASKED = ["harbour", "museum", "railway"]
+_HYBRID = _article_bm25("(SELECT * FROM wikivecs WHERE Id <> 0)", _ASKED, f"""
+c AS (SELECT Id AS doc_id, unnest(Vec) AS v FROM src WHERE Vec IS NOT NULL),
+ok AS (SELECT doc_id, v FROM c WHERE len(v) = 64 AND len(list_filter(v, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+sim AS (SELECT doc_id, max(CASE WHEN list_sum(list_transform(v, lambda x: x::DOUBLE * x)) > 0 THEN list_cosine_similarity(v::DOUBLE[], {_QSQL}) ELSE 0 END) AS score FROM ok GROUP BY doc_id),
+k AS (SELECT doc_id, score, row_number() OVER (ORDER BY score DESC, doc_id) AS pos FROM m QUALIFY pos <= 100),
+w AS (SELECT doc_id, score, row_number() OVER (ORDER BY score DESC, doc_id) AS pos FROM sim QUALIFY pos <= 300),
+f AS (SELECT coalesce(k.doc_id, w.doc_id) AS doc_id, coalesce(1e6 / (60 + k.pos), 0) + coalesce(1e6 / (60 + w.pos), 0) AS score,
+      CASE WHEN k.score IS NULL THEN 0 ELSE greatest(1, least(1000, floor(1000 * k.score / (k.score + 5)))) END::INTEGER AS krank, CASE WHEN w.score IS NULL THEN 0 ELSE greatest(0, floor(w.score * 100000)) END::INTEGER AS vrank FROM k FULL JOIN w ON k.doc_id = w.doc_id),
+b AS (SELECT *, row_number() OVER (ORDER BY score DESC, doc_id)::INTEGER AS fpos FROM f QUALIFY fpos <= 40)
+""")
+
+
+@case(_HYBRID + "SELECT fpos, round(score, 4) AS score, krank, vrank, doc_id, Title AS title FROM b LEFT JOIN page ON Id = doc_id")
 def hybrid_search(s, d):
     docs = table(s, d, "wikivecs").filter("Id <> 0")
-    return fusion.hybrid_search(docs, "harbour museum railway", _QUERY)
+    return fusion.hybrid_search(docs, " ".join(_ASKED), _QUERY).select("fpos", F.round("score", 4).alias("score"), "krank", "vrank", "doc_id", "title")
 
 
-@case()
+@case(_article_bm25("(SELECT * FROM wikidocs WHERE Id <> 0)", ["harbour", "railway"], """
+r AS (SELECT doc_id, score, row_number() OVER (ORDER BY score DESC, doc_id)::INTEGER AS pos FROM m)
+SELECT doc_id, Title AS title, greatest(1, least(1000, floor(1000 * score / (score + 5))))::INTEGER AS krank, pos, true AS has_word FROM r LEFT JOIN page ON Id = doc_id WHERE pos <= 10"""))
 def keyword_search(s, d):
-    docs = table(s, d, "wikidocs").filter("Id <> 0 and Doc is not null").dropDuplicates(["Id"])
-    return keyword.keyword_search(docs, "Id", "Title", "Doc", "harbour railway")[0]
+    docs = table(s, d, "wikidocs").filter("Id <> 0")
+    page, _ = keyword.keyword_search(docs, "Id", "Title", "Doc", "harbour railway")
+    return page.select("doc_id", "title", "krank", "pos", F.lower("snippet").rlike("harbour|railway").alias("has_word"))
+
+
+_INDEXES: dict[tuple[str, str], str] = {}
+
+
+def _indexes(s, d) -> str:
+    """Text and vector indexes of wikivecs in the shared folder; written once a session."""
+    from ..operators import index
+    from ..operators.tables import shared_dir
+
+    at = (s.sparkContext.applicationId, d)
+    if at not in _INDEXES:
+        path = f"{shared_dir(s)}/folioforge/index-{s.sparkContext.applicationId}-{len(_INDEXES)}"
+        docs = table(s, d, "wikivecs").filter("Id <> 0")
+        index.build_text_index(docs, path)
+        index.build_vector_index(docs, path, 64)
+        _INDEXES[at] = path
+    return _INDEXES[at]
+
+
+_INDEX_BM25 = _article_bm25("(SELECT DISTINCT Id, Doc, min(Title) OVER (PARTITION BY Id, Doc) AS Title FROM wikivecs WHERE Id <> 0)", ["harbour", "museum"], """
+r AS (SELECT doc_id, score, row_number() OVER (ORDER BY score DESC, doc_id)::INTEGER AS pos FROM m)
+SELECT doc_id, round(score, 6) AS score, pos FROM r WHERE pos <= 100""")
+
+
+@case(_INDEX_BM25)
+def index_keyword(s, d):
+    from ..operators import index
+
+    hits = index.search_text_index(s, _indexes(s, d), keyword.parse_query("harbour museum"))
+    return keyword.pool(hits, 100).select("doc_id", F.round("score", 6).alias("score"), "pos")
+
+
+@case()
+def index_hybrid(s, d):
+    docs = table(s, d, "wikivecs").filter("Id <> 0")
+    return fusion.hybrid_search(docs, " ".join(_ASKED), _QUERY, options=keyword.SearchOptions(probes=48), index=_indexes(s, d))
 
 
 # result rows: rerank, cut, paging, JSON ---------------------------------------
@@ -279,14 +350,12 @@ def _shown(s, d) -> DataFrame:
 
 @case(_SHOWN + " SELECT req_id, fpos, row_number() OVER (PARTITION BY req_id ORDER BY coalesce(rerank, -1000) DESC, fpos) AS place FROM r")
 def rerank_order(s, d):
-    w = Window.partitionBy("req_id").orderBy(F.desc(F.coalesce("rerank", F.lit(rerank.NOT_REACHED))), "fpos")
-    return _shown(s, d).select("req_id", "fpos", F.row_number().over(w).cast("long").alias("place"))
+    return _shown(s, d).select("req_id", "fpos", rerank.place(["req_id"]).cast("long").alias("place"))
 
 
 @case(_SHOWN + ", n AS (SELECT req_id, count(*) AS rows, count(rerank) AS reached FROM r GROUP BY req_id) SELECT req_id, rows, reached, reached < 5 AND reached < rows AS given_up FROM n")
 def rerank_budget(s, d):
-    n = _shown(s, d).groupBy("req_id").agg(F.count("*").alias("rows"), F.count("rerank").alias("reached"))
-    return n.withColumn("given_up", (F.col("reached") < 5) & (F.col("reached") < F.col("rows")))
+    return rerank.budget_outcome(_shown(s, d), ["req_id"])
 
 
 @case(_SHOWN + " SELECT req_id, count(*) AS shown FROM r WHERE coalesce(rerank, 0) >= 0 GROUP BY req_id")
@@ -296,7 +365,7 @@ def json_cut(s, d):
 
 @case(_SHOWN + " SELECT req_id, fpos, Id FROM r WHERE fpos <= 20")
 def display_cut(s, d):
-    return _shown(s, d).filter("fpos <= 20").select("req_id", "fpos", "Id")
+    return rerank.display_cut(_shown(s, d)).select("req_id", "fpos", "Id")
 
 
 @case("SELECT fpos, krank > 0 AS k, vrank > 0 AS v, count(*) AS n FROM search_rows GROUP BY ALL")
@@ -304,12 +373,6 @@ def pool_flags(s, d):
     return table(s, d, "search_rows").groupBy("fpos", (F.col("krank") > 0).alias("k"), (F.col("vrank") > 0).alias("v")).agg(F.count("*").alias("n"))
 
 
-@case("SELECT req_id, fpos, coalesce(max(s.Snip), max(substring(w.Doc, 1, 80))) AS snip FROM search_rows s LEFT JOIN (SELECT Id, max(Doc) AS Doc FROM wikidocs WHERE Id <> 0 GROUP BY Id) w ON w.Id = s.Id GROUP BY req_id, fpos")
-def snippet_fill(s, d):
-    docs = table(s, d, "wikidocs").filter("Id <> 0").groupBy("Id").agg(F.max("Doc").alias("Doc"))
-    return table(s, d, "search_rows").join(docs, "Id", "left").groupBy("req_id", "fpos").agg(F.coalesce(F.max("Snip"), F.max(F.substring("Doc", 1, 80))).alias("snip"))
-
-
 @case("SELECT lower(trim(q, ' ''\"')) AS q, count(*) AS n, count(DISTINCT req_id) AS requests FROM search_rows WHERE q IS NOT NULL GROUP BY 1")
 def query_counts(s, d):
     return table(s, d, "search_rows").filter("q is not null").groupBy(F.lower(F.btrim("q", F.lit(" '\""))).alias("q")).agg(F.count("*").alias("n"), F.countDistinct("req_id").alias("requests"))
@@ -346,11 +409,8 @@ WITH k AS (SELECT page_key, arg_max(byte_offset, byte_offset) AS byte_offset FRO
 SELECT doc_id, coalesce(a.byte_offset, b.byte_offset) AS byte_offset FROM documents d
 LEFT JOIN k a ON a.page_key = regexp_replace(d.page_key, '^[0-9]+:', '10:') LEFT JOIN k b ON b.page_key = d.page_key""")
 def lookup_two_keys(s, d):
-    k = table(s, d, "pages_idx").groupBy("page_key").agg(F.max("byte_offset").alias("byte_offset"))
-    first = k.select(F.col("page_key").alias("k1"), F.col("byte_offset").alias("o1"))
-    second = k.select(F.col("page_key").alias("k2"), F.col("byte_offset").alias("o2"))
     docs = table(s, d, "documents").select("doc_id", F.regexp_replace("page_key", "^[0-9]+:", "10:").alias("k1"), F.col("page_key").alias("k2"))
-    return docs.join(first, "k1", "left").join(second, "k2", "left").select("doc_id", F.coalesce("o1", "o2").alias("byte_offset"))
+    return mediawiki.look_up(docs, mediawiki.last_places(table(s, d, "pages_idx")), "k1", "k2").select("doc_id", "byte_offset")
 
 
 @case("""
@@ -362,20 +422,22 @@ def redirect_chase(s, d):
     return build.follow(moves).select("source", "final", F.col("hops").cast("long").alias("hops"))
 
 
-_LANGS = [("en", "English", False), ("de", "German", False), ("fr", "French", False), ("es", "Spanish", False), ("ru", "Russian", False), ("ar", "Arabic", True), ("zh", "Chinese", False), ("ja", "Japanese", False)]
+_LANGS = [("en", "English", False), ("de", "German", False), ("fr", "French", False), ("es", "Spanish", False), ("ru", "Russian", False), ("ar", "Arabic", True), ("zh", "Chinese", False), ("ja", "Japanese", False), ("el", "Greek", False), ("hi", "Hindi", False), ("th", "Thai", False)]
 
 
 @case("SELECT coalesce(l.english, d.lang) AS language, coalesce(l.rtl, false) AS rtl, count(*) AS n FROM documents d LEFT JOIN (VALUES " + ", ".join(f"('{c}', '{e}', {str(r).lower()})" for c, e, r in _LANGS) + ") l(code, english, rtl) ON l.code = d.lang GROUP BY ALL")
 def language_names(s, d):
-    dim = s.createDataFrame(_LANGS, "code string, english string, rtl boolean")
-    j = table(s, d, "documents").join(F.broadcast(dim), F.col("lang") == F.col("code"), "left")
-    return j.groupBy(F.coalesce("english", "lang").alias("language"), F.coalesce("rtl", F.lit(False)).alias("rtl")).agg(F.count("*").alias("n"))
+    return languages.named(table(s, d, "documents"), languages.language_table(s), "lang").groupBy("language", "rtl").agg(F.count("*").alias("n"))
 
 
 @case("SELECT lang AS code FROM (SELECT DISTINCT lang FROM documents WHERE regexp_matches(lang, '^[a-z-]+$')) ORDER BY lang <> 'en', lang LIMIT 1")
 def default_language(s, d):
-    codes = table(s, d, "documents").filter(F.col("lang").rlike("^[a-z-]+$")).select("lang").distinct()
-    return codes.orderBy(F.col("lang") != "en", "lang").limit(1).select(F.col("lang").alias("code"))
+    return languages.default_row(table(s, d, "documents").filter(F.col("lang").rlike("^[a-z-]+$")).select(F.col("lang").alias("code")).distinct())
+
+
+@case("SELECT lang AS code FROM (SELECT DISTINCT lang FROM documents WHERE regexp_matches(lang, '^[a-z]{2}$') AND lang <> 'en') ORDER BY lang LIMIT 1")
+def default_language_without_english(s, d):
+    return languages.default_row(table(s, d, "documents").filter(F.col("lang").rlike("^[a-z]{2}$") & (F.col("lang") != "en")).select(F.col("lang").alias("code")).distinct())
 
 
 @case("""
@@ -551,10 +613,11 @@ def _lines(s, d) -> DataFrame:
     return table(s, d, "wikidocs").filter("Doc is not null").select("Id", F.explode(F.split("Doc", "\n")).alias("line")).withColumn("line", F.trim("line"))
 
 
-_RULE = """(lower(split_part(line, ' ', 1)) IN ('nowrap','noprint','plainlist','hlist','plainlinks','vcard','navbox','sidebar','infobox','collapsible','autocollapse','collapsed','mw-collapsible','vevent','geoshape')
+_in = lambda xs: "(" + ", ".join(f"'{x}'" for x in xs) + ")"
+_RULE = f"""(lower(split_part(line, ' ', 1)) IN {_in(cleanup.LEAKED)}
  OR (octet_length(encode(line)) < 40 AND line LIKE '%=') OR line LIKE '">%' OR line LIKE '%">' OR line LIKE '!%' OR line LIKE '|-%'
  OR (octet_length(encode(line)) > 10 AND (line LIKE '%nowrap' OR line LIKE '%noprint')) OR regexp_matches(substring(line, 1, 20), 'colspan|rowspan')
- OR (octet_length(encode(line)) > 2 AND octet_length(encode(line)) < 40 AND regexp_matches(line, '^[a-z-]{2,} ?[=:]')))"""
+ OR (octet_length(encode(line)) > 2 AND octet_length(encode(line)) < 40 AND regexp_matches(line, '^[a-z-]{{2,}} ?[=:]')))"""
 
 
 @case(f"{_LINES} SELECT Id, count(*) AS lines, count(*) FILTER ({_RULE}) AS debris FROM l GROUP BY Id")
@@ -573,9 +636,7 @@ def prose_lines(s, d):
 
 
 _VALUES = ["yes", "12px", "#fff", "ab", "thumb", "photo.JPG", "text-align:left", "bar21-font-size-90%", 'colspan="2"', "ang-Latn", '{"type":1}', "mid-century", "Iranian footballer", "Tokyo", "born 28 July 1996", "navbox", "3.5", "Vignette", "font-size=100%"]
-_CONTROL = "oui non yes no true false left right center none auto noredlink variant size check nocat hlist plainlist sidebar navbox transparent cellpadding cellspacing border nowrap colspan rowspan".split()
-_PARAMS = "user nocat lang format style class width height align border thumb vignette redresse gauche droite upright frameless baseline verifierlesarguments".split()
-_in = lambda xs: "(" + ", ".join(f"'{x}'" for x in xs) + ")"
+_CONTROL, _PARAMS = sorted(values.SWITCHES | values.LAYOUT), sorted(values.PARAMETER_WORDS)
 
 
 @case(f"""
@@ -633,22 +694,15 @@ def pf_case(s, d):
     return table(s, d, "wikidocs").filter("Title is not null").select("Id", "Title", T.lower_ascii(t).alias("lc"), T.upper_ascii(t).alias("uc"), T.upper_first(t).alias("ucfirst"))
 
 
-@case("SELECT s_suppkey, coalesce(nullif(CASE WHEN s_nationkey % 3 = 0 THEN '' ELSE s_name END, ''), 'none') AS chosen FROM supplier")
-def pf_plural(s, d):
-    first = F.when(F.col("s_nationkey") % 3 == 0, "").otherwise(F.col("s_name"))
-    return table(s, d, "supplier").select("s_suppkey", F.coalesce(F.nullif(first, F.lit("")), F.lit("none")).alias("chosen"))
+_EXPR = "3 * x + 2 ^ 2 - y mod 7"
 
 
-@case("SELECT l_orderkey, l_linenumber, round(l_extendedprice * (1 - l_discount) + l_tax, 4) AS a, (l_quantity >= 10 AND l_discount < 0.05)::BIGINT AS b, round(power(l_quantity, 2) - l_tax, 4) AS c, CASE WHEN l_discount <> 0 THEN round(l_tax / l_discount, 6) ELSE 0 END AS div, CASE WHEN l_linenumber <> 0 THEN l_orderkey % l_linenumber ELSE 0 END AS m FROM lineitem")
+@case("SELECT l_linenumber, l_quantity, count(*) AS n, printf('%d', (3 * l_linenumber + 4 - (l_quantity::BIGINT % 7))::BIGINT) AS value FROM lineitem GROUP BY ALL")
 def expr_operators(s, d):
-    q, p, dis, tax = F.col("l_quantity"), F.col("l_extendedprice"), F.col("l_discount"), F.col("l_tax")
-    return table(s, d, "lineitem").select("l_orderkey", "l_linenumber", F.round(p * (1 - dis) + tax, 4).alias("a"), ((q >= 10) & (dis < 0.05)).cast("long").alias("b"), F.round(F.pow(q, F.lit(2)) - tax, 4).alias("c"), F.round(T.safe_divide(tax, dis), 6).alias("div"), T.safe_mod(F.col("l_orderkey"), F.col("l_linenumber")).cast("long").alias("m"))
-
-
-@case("SELECT l_orderkey, l_linenumber, ceil(l_extendedprice)::BIGINT AS up, floor(l_extendedprice)::BIGINT AS down, trunc(l_quantity / 3)::BIGINT AS cut, abs(l_linenumber - 4)::BIGINT AS size, round(ln(l_quantity), 6) AS ln, round(exp(l_discount), 6) AS e, round(sin(l_linenumber), 6) AS sin FROM lineitem")
-def expr_functions(s, d):
-    q, p = F.col("l_quantity"), F.col("l_extendedprice")
-    return table(s, d, "lineitem").select("l_orderkey", "l_linenumber", F.ceil(p).alias("up"), F.floor(p).alias("down"), (q / 3).cast("long").alias("cut"), F.abs(F.col("l_linenumber") - 4).cast("long").alias("size"), F.round(F.ln(q), 6).alias("ln"), F.round(F.exp("l_discount"), 6).alias("e"), F.round(F.sin("l_linenumber"), 6).alias("sin"))
+    """The evaluator over two columns, through its column function."""
+    text = F.replace(F.replace(F.lit(_EXPR), F.lit("x"), F.col("l_linenumber").cast("string")), F.lit("y"), F.col("l_quantity").cast("long").cast("string"))
+    rows = table(s, d, "lineitem").groupBy("l_linenumber", "l_quantity").agg(F.count("*").alias("n"))
+    return rows.select("l_linenumber", "l_quantity", "n", T.expression(text).alias("value"))
 
 
 @case("SELECT o_orderkey, strftime(o_orderdate, '%Y') AS y, strftime(o_orderdate, '%m') AS m, strftime(o_orderdate, '%B') AS mon, strftime(o_orderdate, '%b') AS mab, strftime(o_orderdate, '%d') AS dd, strftime(o_orderdate, '%A') AS dn, strftime(o_orderdate, '%w') AS dow, strftime(o_orderdate, '%H:%M') AS t, weekofyear(o_orderdate)::VARCHAR AS w, strftime(o_orderdate, '%Y%m%d%H%M%S') AS st FROM orders")
@@ -670,14 +724,29 @@ def snippets(s, d):
     return texts.join(F.broadcast(best.select("doc_id", "pos")), "doc_id").select("doc_id", "pos", snippet_column("text", ["harbour", "museum", "railway"]).alias("snippet"))
 
 
-@case()
+@case("""
+WITH e AS (SELECT doc_id, replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') AS t FROM documents WHERE text IS NOT NULL),
+h AS (SELECT doc_id, regexp_replace(t, '(^|[^\\p{L}\\p{M}\\p{N}])(harbour|museum)(?:([^\\p{L}\\p{M}\\p{N}])|$)', '\\1<b>\\2</b>\\3', 'gi') AS marked FROM e)
+SELECT doc_id, md5(marked) AS h FROM h WHERE marked LIKE '%<b>%'""")
 def highlighted(s, d):
     terms = F.array(F.lit("harbour"), F.lit("museum"))
-    return table(s, d, "documents").filter("text is not null").select("doc_id", T.highlight(F.col("text"), terms).alias("marked")).filter(F.col("marked").contains("<b>"))
+    return table(s, d, "documents").filter("text is not null").select("doc_id", T.highlight(F.col("text"), terms).alias("marked")).filter(F.col("marked").contains("<b>")).select("doc_id", F.md5("marked").alias("h"))
 
 
-@case()
+@case(_HYBRID + """,
+o AS (SELECT b.*, page.Title AS title, 'https://en.wikipedia.org/wiki?curid=' || b.doc_id AS link FROM b LEFT JOIN page ON Id = b.doc_id)
+SELECT (fpos - 1)::INTEGER AS place, round(score, 4) AS score, krank, vrank, title, link FROM o""")
 def json_answer(s, d):
+    """The JSON answer of a fused search, read back row by row."""
+    docs = table(s, d, "wikivecs").filter("Id <> 0")
+    rows = rerank.rerank(fusion.hybrid_search(docs, " ".join(_ASKED), _QUERY), " ".join(_ASKED), None)
+    answer = rerank.to_json(rerank.cut_json(rows), "en")
+    shape = "results array<struct<score: double, krank: int, vrank: int, text: string, title: string, link: string>>, timings struct<fused: double, rerank: double>"
+    return answer.select(F.posexplode(F.from_json("json", shape)["results"]).alias("place", "r")).select("place", F.round("r.score", 4).alias("score"), "r.krank", "r.vrank", "r.title", "r.link")
+
+
+@case()
+def json_reranked(s, d):
     docs = table(s, d, "wikivecs").filter("Id <> 0")
     rows = rerank.rerank(fusion.hybrid_search(docs, "harbour museum railway", _QUERY), "harbour museum railway", rerank.overlap_scorer)
     return rerank.to_json(rerank.cut_json(rows), "en")

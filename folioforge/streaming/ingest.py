@@ -8,6 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..operators.tables import exists, materialize, release
+
+KEY_BUCKETS = 64
+
 
 def read_stream(spark: SparkSession, path: str, files_per_trigger: int = 1000) -> DataFrame:
     """Parquet files as a stream, schema taken from what is there."""
@@ -19,20 +23,22 @@ def ingest(stream: DataFrame, target: str, checkpoint: str, key: str = "Id", tra
     """Append what is new to a Parquet table, batch by batch, until the source is used up.
 
     A batch skips keys already in the table (so a replayed batch adds nothing)
-    and repeats inside the batch.
+    and repeats inside the batch.  The table lies in folders by hash of the key:
+    a batch reads the keys of the folders it touches, and within them those in
+    the range of its own keys.
     """
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         rows = transform(batch) if transform else batch
-        rows = rows.dropDuplicates([key])
-        try:
-            held = spark.read.parquet(target).select(key)
-            rows = rows.join(held, key, "left_anti")
-        except Exception as e:  # noqa: BLE001  the first batch finds no table
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-        rows.write.mode("append").parquet(target)
+        rows = materialize(rows.dropDuplicates([key]).withColumn("key_bucket", F.pmod(F.xxhash64(key), F.lit(KEY_BUCKETS)).cast("int")))
+        new = rows
+        if exists(spark, target):
+            span = rows.agg(F.min(key).alias("lo"), F.max(key).alias("hi"), F.collect_set("key_bucket").alias("b")).first()  # at most KEY_BUCKETS numbers
+            held = spark.read.parquet(target).filter(F.col("key_bucket").isin(span["b"]) & F.col(key).between(span["lo"], span["hi"])).select(key)
+            new = rows.join(held, key, "left_anti")
+        new.repartition("key_bucket").write.mode("append").partitionBy("key_bucket").parquet(target)
+        release(rows)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

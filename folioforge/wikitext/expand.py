@@ -1,4 +1,4 @@
-"""Template expansion with bounded depth, calls, size and time.
+"""Template expansion with bounded depth, calls and size.
 
 Output of every template is wrapped in ``\\x01`` ... ``\\x02`` so that later
 passes know what did not stand in the article itself.
@@ -7,7 +7,6 @@ passes know what did not stand in the article itself.
 from __future__ import annotations
 
 import re
-import time
 from collections.abc import Callable
 from urllib.parse import quote
 
@@ -36,9 +35,9 @@ def group_thousands(n: str) -> str:
 class Expander:
     """One article's expansion; ``lookup`` gives the body of a template by name or None."""
 
-    def __init__(self, lookup: Callable[[str], str | None], magic: dict[str, str] | None = None, page_exists: Callable[[str], bool] | None = None, compat: bool = True, max_seconds: float = 10.0) -> None:
+    def __init__(self, lookup: Callable[[str], str | None], magic: dict[str, str] | None = None, page_exists: Callable[[str], bool] | None = None, compat: bool = True) -> None:
         self.lookup, self.magic, self.exists, self.compat = lookup, magic or {}, page_exists, compat
-        self.calls, self.until, self.bodies = 0, time.monotonic() + max_seconds, {}
+        self.calls, self.bodies = 0, {}
 
     def text(self, wikitext: str) -> str:
         return self.run(parse(wikitext), {}, 0)
@@ -51,7 +50,7 @@ class Expander:
                 piece = p
             elif p.kind == "param":
                 piece = self.parameter(p, params, depth)
-            elif depth >= MAX_DEPTH or self.calls >= MAX_CALLS or size > MAX_SIZE or time.monotonic() > self.until:
+            elif depth >= MAX_DEPTH or self.calls >= MAX_CALLS or size > MAX_SIZE:
                 piece = source([p])
             else:
                 self.calls += 1

@@ -16,7 +16,7 @@ def spark():
 
     s = (
         SparkSession.builder.master("local[4]").appName("tests").config("spark.sql.shuffle.partitions", "4").config("spark.driver.memory", "4g").config("spark.sql.session.timeZone", "UTC")
-        .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="folioforge-warehouse-")).getOrCreate()
+        .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.checkpoint.dir", "file://" + tempfile.mkdtemp(prefix="folioforge-shared-")).config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="folioforge-warehouse-")).getOrCreate()
     )
     s.sparkContext.setLogLevel("ERROR")
     yield s

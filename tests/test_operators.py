@@ -1,31 +1,13 @@
-import random
+import json
 
 import numpy as np
 import pytest
-from hypothesis import given, settings
-from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from folioforge.functions.words import shingle_sets, word_hashes
-from folioforge.operators import build, fusion, keyword, neardup, neighbours, progress, rerank, splitting
-from folioforge.operators.components import connected_components
+from folioforge.operators import build, fusion, index, keyword, progress, rerank, tables, vectors
 from folioforge.operators.snippet import best_window
 
-RNG = random.Random(5)
-WORDS = [f"w{i}" for i in range(400)]
-
-
-def text(n, rng=RNG):
-    return " ".join(rng.choice(WORDS) for _ in range(n))
-
-
-def edited(t, share, rng=RNG):
-    w = t.split()
-    for i in rng.sample(range(len(w)), int(share * len(w))):
-        w[i] = rng.choice(WORDS)
-    return " ".join(w)
-
-
 # words ------------------------------------------------------------------------
 
 
@@ -46,184 +28,6 @@ def test_shingles():
     assert h[off[2]] in h[off[0] : off[1]]
 
 
-# near-duplicates --------------------------------------------------------------
-
-
-def jaccard(a, b, width):
-    x, y = ({tuple(t.lower().split()[i : i + width]) for i in range(len(t.split()) - width + 1)} for t in (a, b))
-    return len(x & y) / len(x | y) if x | y else 0
-
-
-@pytest.mark.parametrize("tile", [4096, 8])
-def test_near_duplicates_against_brute_force(spark, tile):
-    rng = random.Random(tile)
-    docs = []
-    for base in range(12):
-        t = text(80, rng)
-        docs += [t, t, *[edited(t, rng.choice([0.01, 0.03, 0.06, 0.1]), rng) for _ in range(6)]]
-    rows = list(enumerate(docs, 1)) + [(3, docs[2]), (None, docs[0]), (500, None), (501, ""), (502, "short text")]
-    df = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "Id long, Doc string, node string, id_a int")
-    members, links = neardup.near_duplicates(df, "Id", "Doc", 0.6, 3, 40, tile=tile)
-    got = {(r.id_a, r.id_b) for r in neardup.expand_pairs(members, links).collect()}
-    want = {(i, j) for i in range(1, len(docs) + 1) for j in range(i + 1, len(docs) + 1) if jaccard(docs[i - 1], docs[j - 1], 3) >= 0.6}
-    assert got == want
-    groups = {r.id: r.class_id for r in neardup.group_members(members, links).collect()}
-    assert len(groups) == len(docs) and all(groups[a] == groups[b] for a, b in want)
-
-
-def test_near_duplicates_of_nothing(spark):
-    empty = spark.createDataFrame([], "Id long, Doc string")
-    members, links = neardup.near_duplicates(empty, "Id", "Doc")
-    assert members.count() == 0 and links.count() == 0
-    assert neardup.group_members(members, links).count() == 0
-
-
-def test_hot_copies_stay_one_node(spark):
-    t = text(60)
-    df = spark.createDataFrame([(i, t) for i in range(300)] + [(1000, edited(t, 0.02)), (1001, "x " * 200_000)], "Id long, Doc string")
-    members, links = neardup.near_duplicates(df, "Id", "Doc", 0.6, 3, 40)
-    assert links.count() == 1 and members.select("node").distinct().count() == 3
-    g = {r.id: r.n_links for r in neardup.group_members(members, links).collect()}
-    assert g[0] == 1 and g[1000] == 1 and g[1001] == 0
-
-
-def test_tile_comparison_is_exact():
-    rng = np.random.default_rng(1)
-    f = rng.integers(0, 2**63, (600, 2)).astype(np.uint64)
-    f[300:] = f[:300] ^ (np.uint64(1) << rng.integers(0, 60, (300, 2)).astype(np.uint64))
-    n = rng.integers(50, 200, 600)
-    x, y = neardup.compare_run(np.arange(600), n, f[:, 0].view(np.int64), f[:, 1].view(np.int64), 0.6, 20, tile=64)
-    got = {tuple(sorted(p)) for p in zip(x.tolist(), y.tolist())}
-    want = {(i, j) for i in range(600) for j in range(i + 1, 600) if int(np.bitwise_count(f[i] ^ f[j]).sum()) <= 20 and min(n[i], n[j]) >= 0.6 * max(n[i], n[j])}
-    assert got == want
-
-
-def test_components(spark):
-    edges = [(i, i + 1) for i in range(1, 30)] + [(100, 101), (101, 102), (102, 100), (7, 7), (None, 3), (200, 201), (201, 200)]
-    got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert {got[i] for i in range(1, 31)} == {1} and got[102] == 100 and got[201] == 200
-    assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
-
-
-# neighbours ---------------------------------------------------------------------
-
-
-def brute(x, keys, k):
-    u = x / np.linalg.norm(x, axis=1, keepdims=True)
-    s = u @ u.T
-    np.fill_diagonal(s, -9)
-    return {keys[i]: {keys[j] for j in np.argsort(-s[i], kind="stable")[:k]} for i in range(len(x))}
-
-
-def test_neighbours_recall_and_dirty_rows(spark):
-    rng = np.random.default_rng(3)
-    centre = rng.normal(size=(12, 16))
-    x = (centre[rng.integers(0, 12, 1500)] + rng.normal(size=(1500, 16)) * 0.4).astype(np.float32)
-    rows = [(i + 1, [v.tolist() for v in x[3 * i : 3 * i + 3]], "z") for i in range(500)]
-    bad = [(900, None, ""), (901, [[0.0] * 16], ""), (902, [[float("nan")] + [1.0] * 15, [1.0] * 8, None], ""), (None, [[1.0] * 16], ""), rows[0], (903, [], "")]
-    df = spark.createDataFrame(rows + bad, "Id long, Vec array<array<float>>, cell string")
-    vec = neighbours.chunk_vectors(df, "Id", "Vec", 16)
-    assert vec.count() == 1500
-    found = neighbours.nearest_neighbours(vec, 16, 5, probes=4, per_cell=100, block=64)
-    got: dict = {}
-    for r in found.collect():
-        got.setdefault((r.id, r.chunk), set()).add((r.n_id, r.n_chunk))
-    keys = [(i // 3 + 1, i % 3) for i in range(1500)]
-    want = brute(x, keys, 5)
-    recall = sum(len(got[k] & want[k]) for k in keys) / (5 * len(keys))
-    assert recall >= 0.95 and all(len(got[k]) == 5 for k in keys)
-    exact = neighbours.exact_neighbours(vec.filter("id % 20 = 0"), vec, 16, 5, groups=3)
-    assert all((r.n_id, r.n_chunk) in want[(r.id, r.chunk)] for r in exact.collect())
-
-
-def test_tree_of_cells_finds_the_flat_answer(monkeypatch):
-    rng = np.random.default_rng(8)
-    centre = rng.normal(size=(60, 16))
-    x = (centre[rng.integers(0, 60, 6000)] + rng.normal(size=(6000, 16)) * 0.4).astype(np.float32)
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    monkeypatch.setattr(neighbours, "FLAT", 10)
-    codec = neighbours.fit_codec(x, 200)
-    assert codec.tops is not None and 150 <= len(codec.centroids) <= 260 and codec.first[-1] == len(codec.centroids)
-    got = codec.assign(x, 4)
-    flat = neighbours.Codec(codec.centroids, codec.words, codec.eta).assign(x, 4)
-    assert (got[:, 0] == flat[:, 0]).mean() > 0.98 and np.mean([len(set(a) & set(b)) for a, b in zip(got, flat)]) > 3.7
-    assert codec.assign(x[:3], 4).shape == (3, 4)
-
-
-def test_equal_vectors(spark):
-    rng = np.random.default_rng(4)
-    same = rng.normal(size=8).astype(np.float32).tolist()
-    rows = [(i, [same]) for i in range(1, 41)] + [(100 + i, [rng.normal(size=8).astype(np.float32).tolist()]) for i in range(30)]
-    vec = neighbours.chunk_vectors(spark.createDataFrame(rows, "Id long, Vec array<array<float>>"), "Id", "Vec", 8)
-    got: dict = {}
-    for r in neighbours.nearest_neighbours(vec, 8, 3).collect():
-        got.setdefault(r.id, []).append(r.n_id)
-    assert set(got) == {i for i, _ in rows} and all(len(v) == 3 for v in got.values())
-    assert sorted(got[1]) == [2, 3, 4] and sorted(got[40]) == [1, 2, 3]
-
-
-def test_no_vectors(spark):
-    empty = spark.createDataFrame([], "Id long, Vec array<array<float>>")
-    assert neighbours.nearest_neighbours(neighbours.chunk_vectors(empty, "Id", "Vec", 4), 4, 5).count() == 0
-    one = spark.createDataFrame([(1, [[1.0, 0.0, 0.0, 0.0]])], "Id long, Vec array<array<float>>")
-    assert neighbours.nearest_neighbours(neighbours.chunk_vectors(one, "Id", "Vec", 4), 4, 5).count() == 0
-
-
-# splitting ----------------------------------------------------------------------
-
-
-def check_pieces(rows, source, limit, overlap):
-    rows = sorted(rows, key=lambda r: r.piece_no)
-    assert [r.piece_no for r in rows] == list(range(len(rows))) and rows[0].start_at == 0 and rows[-1].end_at == len(source)
-    for r in rows:
-        assert source[r.start_at : r.end_at] == r.piece and 0 < len(r.piece) <= limit
-    for a, b in zip(rows, rows[1:]):
-        assert 0 <= a.end_at - b.start_at <= overlap and b.start_at > a.start_at
-
-
-def test_split_round_trip(spark):
-    rng = random.Random(9)
-    sentence = lambda: " ".join(rng.choice(["Straße", "museum", "日本語", "river", "naïve"]) for _ in range(rng.randint(3, 15))).capitalize() + rng.choice([". ", "! ", ".\n\n", ".\r\n"])
-    texts = {1: "".join(sentence() for _ in range(300)), 2: "x" * 5000, 3: "small", 4: "a. " * 4000, 5: "語" * 3000, 6: " " * 900}
-    rows = [(i, t, 0) for i, t in texts.items()] + [(1, texts[1], 0), (7, None, 0), (8, "", 0), (None, "y" * 999, 0)]
-    df = spark.createDataFrame(rows, "Id long, Doc string, item int")
-    for size in (1 << 16, 700):
-        got = splitting.split_texts(df, "Id", "Doc", 400, 60, range_bytes=size).collect()
-        assert {r.id for r in got} == {1, 2, 4, 5, 6}
-        for i in (1, 2, 4, 5, 6):
-            check_pieces([r for r in got if r.id == i], texts[i], 400, 60)
-    ends = [r.piece.rstrip()[-1] for r in got if r.id == 1]
-    assert sum(e in ".!" for e in ends) >= 0.95 * len(ends)
-
-
-def test_split_ranges_do_not_matter(spark):
-    t = ("Heading here\n\n" + "One sentence stands here. Another follows it! " * 30 + "\n\n") * 12
-    df = spark.createDataFrame([(1, t)], "Id long, Doc string")
-    a, b = ([(r.start_at, r.end_at) for r in sorted(splitting.split_texts(df, "Id", "Doc", 500, 80, range_bytes=s).collect(), key=lambda r: r.piece_no)] for s in (1 << 20, 1024))
-    assert a == b
-
-
-def test_split_files(spark, tmp_path):
-    t = "Erster Satz über Käse. Zweiter Satz! 日本語の文。" * 500
-    p = tmp_path / "big.txt"
-    p.write_text(t, encoding="utf-8")
-    (tmp_path / "none.txt").write_text("")
-    got = splitting.split_files(spark, [str(p), str(tmp_path / "none.txt")], 300, 40, range_bytes=2000).collect()
-    assert {r.item for r in got} == {0}
-    check_pieces(got, t, 300, 40)
-    with pytest.raises(ValueError, match="overlap"):
-        splitting.split_texts(spark.createDataFrame([], "Id long, Doc string"), "Id", "Doc", 10, 10)
-
-
-@settings(max_examples=80, deadline=None)
-@given(st.text(alphabet="ab. !\n語é", max_size=300), st.integers(5, 40))
-def test_planner(t, limit):
-    p, s = splitting.boundaries(t, 0, len(t))
-    out = splitting._Planner(limit, limit // 4).feed(0, len(t), np.array(p, int), np.array(s, int), True)
-    assert "".join(t[a:b] if not i else t[max(a, out[i - 1][1]) : b] for i, (a, b) in enumerate(out)) == t
-    assert all(0 < b - a <= limit for a, b in out)
-
-
 # search -------------------------------------------------------------------------
 
 
@@ -272,20 +76,39 @@ def test_derivations_and_proximity(spark):
     assert set(plain) == {1, 2} and set(derived) == {1, 2} and near[1] > plain[1] and near[2] == plain[2]
     assert set(run(all_match=True)) == {1}
     t = "alpha " + "x " * 500 + "omega end"
-    assert "alpha" in windows(t, ["alpha", "omega"]) and "omega" in windows(t, ["alpha", "omega"]) and len(windows(t, ["alpha", "omega"])) <= 405
+    assert "alpha" in windows(t, ["alpha", "omega"]) and "omega" in windows(t, ["alpha", "omega"]) and len(windows(t, ["alpha", "omega"])) <= 235
 
 
 def test_snippets():
     t = "start " * 200 + "harbour museum " + "end " * 200
     assert "harbour museum" in best_window(t, ["harbour", "museum"]) and len(best_window(t, ["harbour"])) <= 400
-    assert best_window(t, ["nothing"]) == t[:400] and best_window("short", ["x"]) == "short"
+    assert best_window(t, ["nothing"]) == t[:230] and best_window("short", ["x"]) == "short"
 
 
 def test_late_text(spark, data):
-    """Snippets are cut after the limit: the Python step stands above the top-k in the plan."""
+    """Titles and texts are read for the page's ids alone: they reach the scan."""
     docs = spark.read.parquet(f"{data}/wikivecs.parquet")
-    plan = fusion.hybrid_search(docs, "harbour", [0.1] * 64)._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
-    assert plan.index("ArrowEvalPython") < plan.index("TakeOrderedAndProject")
+    plan = fusion.hybrid_search(docs, "harbour", [0.1] * 64)._jdf.queryExecution().toString()
+    assert "PushedFilters: [IsNotNull(Doc), In(Id, [" in plan or "In(Id, [" in plan.split("PushedFilters")[1]
+
+
+def test_one_row_an_article(spark):
+    rows = [(1, "a", "harbour town", [[1.0, 0.0]]), (1, "b", "harbour harbour", [[0.0, 1.0]]), (2, "c", "harbour x", [[1.0, 1.0]]), (3, None, None, [[0.5, 0.0]]), (1, "a", "harbour town", [[1.0, 0.0]]), (4, "d", "nothing " * 300 + "at the end", [[0.0, 0.0], [2.0, 0.0]])]
+    docs = spark.createDataFrame(rows, "Id long, Title string, Doc string, Vec array<array<float>>")
+    got = fusion.hybrid_search(docs, "harbour", [1.0, 0.0]).collect()
+    assert sorted(r.doc_id for r in got) == [1, 2, 3, 4] and [r.fpos for r in got] == [1, 2, 3, 4]
+    assert {r.doc_id: r.title for r in got} == {1: "a", 2: "c", 3: None, 4: "d"}
+    page, total = keyword.keyword_search(docs, "Id", "Title", "Doc", "harbour")
+    assert total == 2 and page.count() == 2
+
+
+def test_seeded_snippets():
+    from folioforge.models import chunk_spans, chunk_text
+    from folioforge.operators.snippet import chunk_window
+
+    t = "alpha " * 150 + "\n\n" + "beta " * 180 + "\n\n" + "gamma " * 90
+    assert [t[a:b].split()[0] for a, b in chunk_spans(t)] == ["alpha", "beta", "gamma"] and len(chunk_text(t, "T")) == 3
+    assert chunk_window(t, ["none"], 100, 1).startswith("beta") and chunk_window("", [], 10, 0) == ""
 
 
 def test_pruned_scan(spark, data):
@@ -324,18 +147,82 @@ def test_averages(spark):
     assert got == {1: 22.5, 2: 5.0}
 
 
-def test_text_index(spark, data, tmp_path):
-    from folioforge.operators import index
+def test_long_chains_of_redirects(spark):
+    moves = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(1000, 1001), (1001, 1002), (1002, 1000), (2000, 1000)], "source long, target long")
+    got = {r.source: (r.final, r.hops) for r in build.follow(moves).collect()}
+    assert got == {i: (300, 300 - i) for i in range(300)}
+
 
+def test_text_index(spark, data, tmp_path):
     docs = spark.read.parquet(f"{data}/documents.parquet")
     path = str(tmp_path / "ix")
     assert index.build_text_index(docs, path, "doc_id", "text") and not index.build_text_index(docs, path, "doc_id", "text")
-    for q, o in (("harbour museum railway", keyword.SearchOptions()), ("founded kingdom", keyword.SearchOptions(all_match=True)), ("", keyword.SearchOptions())):
+    for q, o in (("harbour museum railway", keyword.SearchOptions()), ("founded kingdom", keyword.SearchOptions(all_match=True)), ("harbours museums", keyword.SearchOptions(derivations="en", proximity=True)), ('"harbour"', keyword.SearchOptions()), ("", keyword.SearchOptions())):
         a = {r.doc_id: round(r.score, 9) for r in index.search_text_index(spark, path, keyword.parse_query(q), o).collect()}
         b = {r.doc_id: round(r.score, 9) for r in keyword.matches(docs, "doc_id", "text", keyword.parse_query(q), o).collect()}
         assert a == b
-    plan = index.search_text_index(spark, path, keyword.parse_query("harbour"))._jdf.queryExecution().toString()
-    assert "PartitionFilters: [isnotnull(bucket" in plan or "PartitionFilters: [(bucket" in plan
+    plan = spark.read.parquet(f"{path}/postings").filter("bucket in (3, 7) and term = 'x'")._jdf.queryExecution().toString()
+    assert "PartitionFilters: [bucket" in plan and "EqualTo(term,x)" in plan
     with pytest.raises(FileNotFoundError):
         index.search_text_index(spark, str(tmp_path / "none"), keyword.parse_query("x"))
     assert index.vector_backend(10) == "exact" and index.vector_backend(5000) == "cells"
+
+
+def test_vector_index(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    centre = rng.normal(size=(20, 12))
+    x = centre[np.arange(3000) % 20] + rng.normal(size=(3000, 12)) * 0.4
+    rows = [(i, [x[2 * i].tolist(), x[2 * i + 1].tolist()]) for i in range(1500)] + [(5000, None), (5001, [[0.0] * 12]), (5002, [[float("nan")] * 12, [1.0]]), (0, [x[0].tolist()])]
+    vecs = spark.createDataFrame(rows, "Id int, Vec array<array<float>>")
+    path = str(tmp_path / "vx")
+    assert index.build_vector_index(vecs, path, 12, per_cell=100) and not index.build_vector_index(vecs, path, 12)
+    assert index.index_figures(spark, path, "vectors")["cells"] == 31
+    hits = asked = 0
+    for i in range(6):
+        q = (x[i * 100] + 0.1).tolist()
+        exact = {r.doc_id for r in fusion.pool(vectors.best_per_article(vectors.best_chunk(vecs, "Id", "Vec", q)), 10).collect()}
+        near = {r.doc_id for r in fusion.pool(index.search_vector_index(spark, path, q, keyword.SearchOptions(probes=6)), 10).collect()}
+        full = {r.doc_id for r in fusion.pool(index.search_vector_index(spark, path, q), 10).collect()}
+        assert full == exact
+        hits, asked = hits + len(near & exact), asked + len(exact)
+    assert hits >= 0.9 * asked
+    docs = vecs.withColumn("Title", F.lit("t")).withColumn("Doc", F.concat(F.lit("harbour town "), F.col("Id").cast("string")))
+    index.build_text_index(docs, path)
+    a, b = ([(r.fpos, r.doc_id, r.krank) for r in fusion.hybrid_search(docs, "harbour town", x[0].tolist(), index=i).collect()] for i in (path, None))
+    assert a == b
+
+
+def test_shared_folder(spark, monkeypatch):
+    held = tables.materialize(spark.range(5))
+    assert tables.exists(spark, held._written_path) and held.count() == 5
+    tables.release(held)
+    assert not tables.exists(spark, held._written_path)
+    tables.release(spark.range(3))
+
+    class Cluster:
+        conf = spark.conf
+        sparkContext = type("C", (), {"master": "spark://host:7077", "getConf": lambda self: type("G", (), {"get": lambda self, k: None})()})()
+
+    named = spark.conf.get("spark.checkpoint.dir")
+    assert tables.shared_dir(spark) == named
+    monkeypatch.setattr(Cluster, "conf", type("N", (), {"get": lambda self, k, d=None: None})())
+    with pytest.raises(ValueError, match="checkpoint"):
+        tables.shared_dir(Cluster())
+
+
+def test_answers(spark, tmp_path):
+    from folioforge import api
+    from folioforge.models import HashEmbedder
+
+    rows = [(i, f"T<{i}>", f"the harbour of town {i}", [HashEmbedder(8).embed([f"harbour {i}"])[0].tolist()]) for i in range(1, 13)]
+    docs = spark.createDataFrame(rows, "Id long, Title string, Doc string, Vec array<array<float>>")
+    r = api.Request.parse({"q": " harbour ", "lc": "xx", "skip": "10"}, "/search.html", ["de", "fr"])
+    assert (r.lc, r.skip, r.fmt, r.rr) == ("de", 10, "html", False)
+    first, last = api.answer(docs, api.Request("harbour")), api.answer(docs, r)
+    assert first.count("<li>") == 10 and "skip=10" in first and "<b>harbour</b>" in first and "T&lt;1&gt;" in first
+    assert last.count("<li>") == 2 and "next" not in last
+    out = json.loads(api.answer(docs, api.Request.parse({"q": "harbour", "rr": ""}, "/x.json"), HashEmbedder(8), rerank.overlap_scorer))
+    assert len(out["results"]) == 12 and out["results"][0]["link"].startswith("https://en.")
+    assert len(json.loads(api.answer(docs, api.Request("harbour", fmt="json")))["results"]) == 10
+    assert rerank.load_scorer(None) is None and rerank.load_scorer(str(tmp_path)) is None
+    assert api.build_indexes(docs, str(tmp_path / "i"), 8) == ["text", "vectors"] and api.build_indexes(docs, str(tmp_path / "i"), 8) == []

@@ -47,6 +47,39 @@ def test_dump(spark, dump):
     assert mw.read_pages(spark, dump, limit=2).count() == 2
 
 
+@pytest.mark.parametrize("size", [64, 700, 1 << 20])
+def test_places(spark, tmp_path, size):
+    p = tmp_path / "d.xml"
+    p.write_text(DUMP)
+    index = mw.scan_offsets(spark, [str(p)], size)
+    rows = index.collect()
+    assert len(rows) == 11 and all(DUMP[int(r.byte_offset) :][:6] == "<page>" and DUMP[: int(r.byte_offset + r.byte_length)].endswith("</page>") for r in rows)
+    places = mw.last_places(index)
+    assert mw.index_counts(places).first().asDict() == {"pages": 10, "articles": 4, "redirects": 1}
+    assert mw.show_page(spark, str(p), "Twice", raw=True, places=places).startswith("second") and mw.show_page(spark, str(p), "Twice", places=places).startswith("second text here")
+    assert mw.show_page(spark, str(p), "Nowhere", places=places) is None and mw.show_page(spark, str(p), "Nowhere", raw=True, places=places) is None
+
+
+def test_many_splits_of_one_dump(spark, tmp_path):
+    page = "<page><title>T{0}</title><ns>0</ns><id>{0}</id><revision><id>1</id><text>{1}</text></revision></page>\n"
+    p = tmp_path / "big.xml"
+    p.write_text("<mediawiki>\n" + "".join(page.format(i, f"word &amp; text {i} " * 60) for i in range(2000)) + "</mediawiki>")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200k")
+    try:
+        pages = mw.read_pages(spark, str(p))
+        assert pages.rdd.getNumPartitions() > 5
+        assert pages.count() == 2000 and pages.select("page_id").distinct().count() == 2000 and pages.filter("wikitext like 'word & text%'").count() == 2000
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_fetch(tmp_path):
+    src = tmp_path / "s.xml.bz2"
+    src.write_bytes(bz2.compress(DUMP.encode()))
+    plain = mw.fetch_dump(src.as_uri(), str(tmp_path / "t.xml.bz2"))
+    assert open(plain).read() == DUMP and mw.fetch_dump(src.as_uri(), str(tmp_path / "t.xml.bz2")) == plain
+
+
 def test_templates_by_join(spark, dump, monkeypatch):
     monkeypatch.setattr(mw, "BROADCAST_BYTES", 0)
     rows = {r.Title: r.Doc for r in mw.render_articles(mw.read_pages(spark, dump), mw.read_siteinfo(spark, dump)).collect()}
