@@ -10,13 +10,15 @@
    more than the radius everywhere, or its sizes by more than any pair at the
    threshold can.  Blocks above ``tile`` rows are spread over many tasks, one per
    tile pair, so no block is ever one task.
-3. Surviving pairs are verified with the exact Jaccard measure of their complete
-   shingle sets, in blocks of up to 32 by 32 nodes, so that a set travels once a
+3. Surviving pairs are compared by eight bits of each min-wise hash, and what is
+   left is verified with the exact Jaccard measure of the complete shingle sets,
+   both in blocks of up to 32 by 32 nodes, so that a node's bytes travel once a
    block and not once a pair.  Nothing is capped or sampled.
 
 The number of bands follows from the threshold: a pair at it is missed with a
-probability of a few in a million, one above it more rarely; the radius lies five
-standard deviations beyond the expected distance at the threshold.  ``exact``
+probability of about 1 in 20,000, one above it more rarely; the radius lies four
+standard deviations beyond the expected distance at the threshold, the bound on
+the eight-bit signatures five.  ``exact``
 takes the rare shingles of each set as keys instead (a prefix filter: sets at the
 threshold share one of them, without exception) and no radius: nothing is missed,
 at the cost of counting and shuffling every shingle.
@@ -34,12 +36,12 @@ from pyspark.sql import functions as F
 
 from ..functions.words import mix64, shingle_sets
 from .components import connected_components
-from ..operators.tables import materialize, pick, rows_at_most, spread
+from ..operators.tables import materialize, pick, release, rows_at_most, spread
 
 BITS = 128
 BROADCAST_ROWS = 8_192
 HOLDER_ROWS = 200_000
-MISS = 1e-6
+MISS = 2e-5
 SIDE = 32  # nodes on each side of a block of pairs to verify
 BUCKET_PAIRS = 256  # pairs of small groups verified together
 
@@ -50,11 +52,10 @@ def bands_for(threshold: float, rows: int = 3) -> int:
 
 
 def band_members(bands: int, rows: int) -> np.ndarray:
-    """Hashes of each key: disjoint runs of the hashes, then of the hashes in another order, and so on."""
-    out = [(mult * np.arange(BITS) % BITS)[rows * k : rows * (k + 1)] for mult in range(1, BITS, 42) for k in range(BITS // rows)]
-    if bands > len(out):
-        raise ValueError(f"at most {len(out)} bands of {rows} rows")
-    return np.array(out[:bands])
+    """Hashes of each key: disjoint runs of the hashes in order, then of the hashes in one mixed order after another."""
+    every = np.arange(BITS, dtype=np.uint64)
+    orders = [np.arange(BITS)] + [np.argsort(mix64(every + np.uint64(1000 * k + 1))) for k in range(1, -(-bands // (BITS // rows)))]
+    return np.array([o[rows * k : rows * (k + 1)] for o in orders for k in range(BITS // rows)][:bands])
 
 
 def _multipliers() -> np.ndarray:
@@ -98,8 +99,9 @@ def _sketches(width: int, min_words: int, bands: int, rows: int):
                     np.multiply(h32, mult[k], out=buf)
                     buf ^= buf >> np.uint32(15)
                     sig[k] = np.minimum.reduceat(buf, starts)[at]
-                # one bit of each min-wise hash
-                bit = (mix64(sig.ravel()).reshape(sig.shape) & np.uint64(1)).T
+                # one bit of each min-wise hash, and eight others for a closer look
+                mixed = mix64(sig.ravel()).reshape(sig.shape).T
+                bit, octets = mixed & np.uint64(1), (mixed >> np.uint64(8)).astype(np.uint8)
                 fp = [(bit[:, 64 * j : 64 * (j + 1)] * weight).sum(axis=1, dtype=np.uint64).view(np.int64) for j in (0, 1)]
                 keys = np.empty((use.size, bands), np.uint64)
                 for j in range(bands):
@@ -116,17 +118,17 @@ def _sketches(width: int, min_words: int, bands: int, rows: int):
                 counts = np.concatenate(([0], np.cumsum(fresh * bands))).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(counts), pa.array(keys[fresh].ravel().view(np.int64)))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[lo:hi][use], pa.int64()), pa.array(names), pa.array(n[use].astype(np.int32)), pa.array(fp[0]), pa.array(fp[1]), lists],
-                    ["id", "node", "n", "f0", "f1", "keys"],
+                    [pa.array(ids[lo:hi][use], pa.int64()), pa.array(names), pa.array(n[use].astype(np.int32)), pa.array(fp[0]), pa.array(fp[1]), lists, pa.array([o.tobytes() if f else None for o, f in zip(octets, fresh)], pa.binary())],
+                    ["id", "node", "n", "f0", "f1", "keys", "octets"],
                 )
 
     return run
 
 
-SKETCH = "id long, node long, n int, f0 long, f1 long, keys array<long>"
+SKETCH = "id long, node long, n int, f0 long, f1 long, keys array<long>, octets binary"
 
 
-def sketch_texts(docs: DataFrame, id_col: str, text_col: str, width: int = 3, min_words: int = 40, bands: int = 57, rows: int = 3) -> DataFrame:
+def sketch_texts(docs: DataFrame, id_col: str, text_col: str, width: int = 3, min_words: int = 40, bands: int = 45, rows: int = 3) -> DataFrame:
     """Sketch rows of all texts with at least ``min_words`` words.
 
     ``keys`` is filled for the first row of a node in each task and empty for
@@ -139,7 +141,7 @@ def sketch_texts(docs: DataFrame, id_col: str, text_col: str, width: int = 3, mi
 
 def _radius(threshold: float) -> int:
     p = (1 - threshold) / 2
-    return min(BITS, math.ceil(BITS * (p + 5 * math.sqrt(p * (1 - p) / BITS))))
+    return min(BITS, math.ceil(BITS * (p + 4 * math.sqrt(p * (1 - p) / BITS))))
 
 
 def compare_run(node: np.ndarray, n: np.ndarray, f0: np.ndarray, f1: np.ndarray, threshold: float, radius: int, side: np.ndarray | None = None, tile: int = 256) -> tuple[np.ndarray, np.ndarray]:
@@ -310,13 +312,29 @@ def _jaccard(threshold: float):
     return run
 
 
-def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """``(a, b, similarity)`` of the pairs whose sets are at the threshold.
+def _alike(threshold: float):
+    """Pairs of a block and the signatures of its nodes -> pairs that may be at the threshold."""
+    p = threshold + (1 - threshold) / 256
+    least = math.floor(BITS * (p - 5 * math.sqrt(p * (1 - p) / BITS)))
+
+    def run(pairs: pa.Table, held: pa.Table) -> pa.Table:
+        node = held.column("node").to_numpy()
+        order = np.argsort(node)
+        octets = np.frombuffer(b"".join(held.column("s").to_pylist()), np.uint8).reshape(-1, BITS)[order]
+        a, b = (np.searchsorted(node[order], pairs.column(c).to_numpy()) for c in "ab")
+        keep = pa.array((octets[a] == octets[b]).sum(axis=1) >= least)
+        return pa.table({"a": pairs.column("a").filter(keep), "b": pairs.column("b").filter(keep)})
+
+    return run
+
+
+def in_blocks(pairs: DataFrame, held: DataFrame, work, schema: str) -> DataFrame:
+    """``work`` on blocks of ``pairs(a, b)`` together with the rows ``held(node, s)`` of their nodes.
 
     Pairs are grouped by the smallest candidate of their first node, so members
     of a crowd share a group; a group of more than :data:`SIDE` nodes on a side is
-    cut into blocks by both sides, small groups are verified many at a time.  A
-    set is shipped once to each block it takes part in.
+    cut into blocks by both sides, small groups are done many at a time.  What a
+    node holds is shipped once to each block it takes part in.
     """
     lead = pairs.groupBy(F.col("b").alias("a")).agg(F.min("a").alias("lead"))
     grouped = materialize(pairs.join(lead, "a", "left").select("a", "b", F.coalesce("lead", "a").alias("g")))
@@ -329,9 +347,15 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
         block = F.when(F.col("ka").isNull(), F.pmod(F.xxhash64("g"), F.lit(buckets))).otherwise(F.xxhash64("g", F.pmod(F.hash("a"), "ka"), F.pmod(F.hash("b"), "kb")))
         placed = grouped.join(F.broadcast(wide) if rows_at_most(wide, BROADCAST_ROWS) else wide, "g", "left").select("a", "b", block.alias("block"))
     placed = materialize(placed)
+    release(grouped)
     need = placed.select(F.col("block").alias("in_block"), F.col("a").alias("node")).union(placed.select(F.col("block").alias("in_block"), F.col("b").alias("node"))).distinct()
-    shipped = need.join(sets, "node").select("in_block", "node", "s")
-    return placed.groupBy("block").cogroup(shipped.groupBy("in_block")).applyInArrow(_jaccard(threshold), "a long, b long, similarity double")
+    shipped = need.join(held, "node").select("in_block", "node", "s")
+    return placed.groupBy("block").cogroup(shipped.groupBy("in_block")).applyInArrow(work, schema)
+
+
+def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """``(a, b, similarity)`` of the pairs whose sets are at the threshold."""
+    return in_blocks(pairs, sets, _jaccard(threshold), "a long, b long, similarity double")
 
 
 def near_duplicates(docs: DataFrame, id_col: str, text_col: str, threshold: float = 0.8, width: int = 5, min_words: int = 1, bands: int | None = None, rows: int = 3, tile: int = 4096, exact: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -356,7 +380,10 @@ def near_duplicates(docs: DataFrame, id_col: str, text_col: str, threshold: floa
         banded = rare_keys(sets, threshold).withColumns({"f0": F.lit(0).cast("long"), "f1": F.lit(0).cast("long")})
         return members, verified(materialize(candidate_pairs(banded, threshold, tile, BITS)), sets, threshold)
     banded = firsts.select(F.explode("keys").alias("key"), "node", "n", "f0", "f1")
-    pairs = materialize(candidate_pairs(banded, threshold, tile))
+    close = materialize(candidate_pairs(banded, threshold, tile))
+    octets = firsts.dropDuplicates(["node"]).select("node", F.col("octets").alias("s"))
+    pairs = materialize(in_blocks(close, octets, _alike(threshold), "a long, b long"))
+    release(close)
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
     # one text of each node in question
     holders = materialize(firsts.join(wanted, "node").groupBy("node").agg(F.min("id").alias("id")))
