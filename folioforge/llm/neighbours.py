@@ -96,24 +96,38 @@ class Codec:
 
 
 def _descend(x, e, words, eta, rounds):
-    """Codes and residual inner products of residuals ``e`` of vectors ``x``."""
+    """Codes and residual inner products of residuals ``e`` of vectors ``x``, in blocks of at most 16 MB of working set (64 rows at least)."""
+    rows = max(64, (1 << 17) // words.shape[0])
+    if len(x) > rows:
+        return tuple(np.concatenate(z) for z in zip(*(_descend(x[lo : lo + rows], e[lo : lo + rows], words, eta, rounds) for lo in range(0, len(x), rows))))
     n, m = len(x), words.shape[0]
     xs, es = x.reshape(n, m, 2), e.reshape(n, m, 2)
     codes = np.zeros((n, m), np.uint8)
     part = np.empty((n, m), np.float32)  # x_m . r_m
+    every = np.arange(n)
+    error = np.empty((m, n, WORDS), np.float32)  # |r_m|^2 of every word
+    along = np.empty((m, n, WORDS), np.float32)  # x_m . r_m of every word
     for j in range(m):
-        d = ((es[:, j, None, :] - words[j][None]) ** 2).sum(2)
-        codes[:, j] = d.argmin(1)
-        part[:, j] = (xs[:, j] * (es[:, j] - words[j][codes[:, j]])).sum(1)
+        e_, x_, w = np.ascontiguousarray(es[:, j]), np.ascontiguousarray(xs[:, j]), words[j].T
+        np.matmul(e_, w, out=error[j])
+        error[j] *= -2
+        error[j] += (e_ * e_).sum(1)[:, None]
+        error[j] += (w * w).sum(0)
+        np.matmul(x_, w, out=along[j])
+        np.subtract((x_ * e_).sum(1)[:, None], along[j], out=along[j])
+        codes[:, j] = error[j].argmin(1)
+        part[:, j] = along[j][every, codes[:, j]]
     total = part.sum(1)
     for _ in range(rounds):
         for j in range(m):
-            r = es[:, j, None, :] - words[j][None]
-            along = (xs[:, j, None, :] * r).sum(2)
             rest = total - part[:, j]
-            best = ((r * r).sum(2) + (eta - 1) * (rest[:, None] + along) ** 2).argmin(1)
+            loss = along[j] + rest[:, None]
+            loss *= loss
+            loss *= eta - 1
+            loss += error[j]
+            best = loss.argmin(1)
             codes[:, j] = best
-            part[:, j] = along[np.arange(n), best]
+            part[:, j] = along[j][every, best]
             total = rest + part[:, j]
     return codes, part
 
@@ -137,7 +151,7 @@ def _cells(sample: np.ndarray, cells: int, rng: np.random.Generator, iterations:
     return c, nearest()
 
 
-def fit_codec(sample: np.ndarray, cells: int, seed: int = 7, iterations: int = 12, threshold: float = 0.2, word_sample: int = 4096) -> Codec:
+def fit_codec(sample: np.ndarray, cells: int, seed: int = 7, iterations: int = 12, threshold: float = 0.2, word_sample: int = 32_768) -> Codec:
     """Fit cells on unit vectors ``sample`` and code words on ``word_sample`` of them, taken at even steps (deterministic)."""
     rng = np.random.default_rng(seed)
     dim = sample.shape[1]
@@ -309,7 +323,7 @@ def _search(codec: Codec, dim: int, k: int, rerank: int):
 NEIGHBOURS = "id long, chunk int, n_id long, n_chunk int, score float"
 
 
-def nearest_neighbours(vectors: DataFrame, dim: int, k: int, probes: int = 6, per_cell: int = 1000, max_cells: int = 65_536, rerank: int = 32, block: int = 8192, sample: int = 32_768, word_sample: int = 4096, fit_bytes: int = 256 << 20) -> DataFrame:
+def nearest_neighbours(vectors: DataFrame, dim: int, k: int, probes: int = 6, per_cell: int = 1000, max_cells: int = 65_536, rerank: int = 32, block: int = 8192, sample: int = 32_768, word_sample: int = 32_768, fit_bytes: int = 256 << 20) -> DataFrame:
     """``k`` most similar (cosine) other vectors of every vector of ``(id, chunk, v)``.
 
     Result ``(id, chunk, n_id, n_chunk, score)``.  Ties go to the smaller
