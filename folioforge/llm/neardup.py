@@ -16,9 +16,9 @@
    block and not once a pair.  Nothing is capped or sampled.
 
 The number of bands follows from the threshold: a pair at it is missed with a
-probability of about 1 in 20,000, one above it more rarely; the radius lies four
-standard deviations beyond the expected distance at the threshold, the bound on
-the eight-bit signatures five.  ``exact``
+probability of a few in a million, one above it more rarely; the radius lies four
+and a half standard deviations beyond the expected distance at the threshold, the
+bound on the eight-bit signatures five.  ``exact``
 takes the rare shingles of each set as keys instead (a prefix filter: sets at the
 threshold share one of them, without exception) and no radius: nothing is missed,
 at the cost of counting and shuffling every shingle.
@@ -41,7 +41,7 @@ from ..operators.tables import materialize, pick, release, rows_at_most, spread
 BITS = 128
 BROADCAST_ROWS = 8_192
 HOLDER_ROWS = 200_000
-MISS = 2e-5
+MISS = 1e-6
 SIDE = 32  # nodes on each side of a block of pairs to verify
 BUCKET_PAIRS = 256  # pairs of small groups verified together
 
@@ -128,7 +128,7 @@ def _sketches(width: int, min_words: int, bands: int, rows: int):
 SKETCH = "id long, node long, n int, f0 long, f1 long, keys array<long>, octets binary"
 
 
-def sketch_texts(docs: DataFrame, id_col: str, text_col: str, width: int = 3, min_words: int = 40, bands: int = 45, rows: int = 3) -> DataFrame:
+def sketch_texts(docs: DataFrame, id_col: str, text_col: str, width: int = 3, min_words: int = 40, bands: int = 57, rows: int = 3) -> DataFrame:
     """Sketch rows of all texts with at least ``min_words`` words.
 
     ``keys`` is filled for the first row of a node in each task and empty for
@@ -141,7 +141,7 @@ def sketch_texts(docs: DataFrame, id_col: str, text_col: str, width: int = 3, mi
 
 def _radius(threshold: float) -> int:
     p = (1 - threshold) / 2
-    return min(BITS, math.ceil(BITS * (p + 4 * math.sqrt(p * (1 - p) / BITS))))
+    return min(BITS, math.ceil(BITS * (p + 4.5 * math.sqrt(p * (1 - p) / BITS))))
 
 
 def compare_run(node: np.ndarray, n: np.ndarray, f0: np.ndarray, f1: np.ndarray, threshold: float, radius: int, side: np.ndarray | None = None, tile: int = 256) -> tuple[np.ndarray, np.ndarray]:
