@@ -118,13 +118,12 @@ def build_vecs(spark: SparkSession, source: DataFrame, target: str, make_embedde
         models.write_sidecar(sidecar_dir, model, engine, dim, None, datetime.now(UTC).isoformat())
     embed = lambda df: df.select("Id", "Title", "Doc", models.chunk_embed(make_embedder, F.col("Doc"), F.col("Title")).alias("Vec"))
     if not build.table_exists(spark, target):
-        embed(source).write.saveAsTable(target)
+        build.write_bucketed(embed(source), target)
         return {"inserted": spark.table(target).count()}
     acted = build_cache(build.actions(source, spark.table(target)))
     counts = {r["action"]: r["rows"] for r in build.counters(acted).collect()}
     changes = build_cache(embed(acted.filter("action in ('insert', 'repair', 'empty')")))
-    image = build_cache(build.upsert(spark.table(target).select("Id", "Title", "Doc", "Vec"), changes))
-    image.write.mode("overwrite").saveAsTable(target)
+    build.update_bucketed(spark, target, changes)
     return counts
 
 

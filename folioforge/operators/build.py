@@ -64,6 +64,26 @@ def upsert(base: DataFrame, changes: DataFrame, key: str = "Id") -> DataFrame:
     return base.join(changes.select(key), key, "left_anti").unionByName(changes)
 
 
+def write_bucketed(rows: DataFrame, table: str, key: str = "Id", buckets: int = 64) -> None:
+    """A new table in folders by hash of the key (column ``key_bucket``, the last), so that an update touches few of them."""
+    rows.withColumn("key_bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")).repartition("key_bucket").write.partitionBy("key_bucket").saveAsTable(table)
+
+
+def update_bucketed(spark: SparkSession, table: str, changes: DataFrame, key: str = "Id", buckets: int = 64) -> int:
+    """Put ``changes`` in place of the rows with their keys; only the folders they fall in are read and written.  Returns their number."""
+    from .tables import materialize, release
+
+    new = materialize(changes.withColumn("key_bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")))
+    touched = [r["key_bucket"] for r in new.select("key_bucket").distinct().collect()]  # at most ``buckets``
+    if touched:
+        held = spark.table(table).filter(F.col("key_bucket").isin(touched))
+        image = materialize(upsert(held, new.select(held.columns), key))
+        image.repartition("key_bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").insertInto(table)
+        release(image)
+    release(new)
+    return len(touched)
+
+
 def counters(acted: DataFrame) -> DataFrame:
     """Rows of each action, counted per partition first."""
     return acted.groupBy("action").agg(F.count("*").alias("rows"))

@@ -157,6 +157,20 @@ def keyword_total(s, d):
     return _scored(s, d, "committee years").agg(F.count("*").alias("total"), (F.count("*") > 10).alias("next_page"))
 
 
+_FORMS = ["harbours", "harbour", "harboures", "harboured", "harbouring", "harbourer", "harbourers", "harbourly"]
+
+
+@case(f"""
+WITH t AS (SELECT doc_id, {TOKENS} AS toks FROM documents WHERE text IS NOT NULL),
+fig AS (SELECT count(*)::DOUBLE AS n, avg(len(toks)) AS avgdl FROM t),
+p AS (SELECT doc_id, len(list_filter(toks, lambda x: list_contains({_FORMS}, x)))::DOUBLE AS tf, list_min(list_transform({_FORMS}, lambda f: nullif(coalesce(list_position(toks, f), 0), 0))) - 1 AS first_pos, len(toks) AS dl FROM t),
+df AS (SELECT count(*) FILTER (tf > 0)::DOUBLE AS df FROM p),
+m AS (SELECT doc_id, ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl)) * (1 + 0.5 / (1 + first_pos / 50.0)) AS score FROM p, df, fig WHERE tf > 0)
+""" + _POOL.format(n=100))
+def keyword_derivations(s, d):
+    return _rounded(keyword.pool(_scored(s, d, "harbours", derivations="en"), 100))
+
+
 @case(_bm25(["museum"], tail=_POOL.format(n=20)))
 def keyword_quoted(s, d):
     return _rounded(keyword.pool(_scored(s, d, '"museum"'), 20))
@@ -537,7 +551,7 @@ def markup_breaks(s, d):
 
 @case(_wrap("<b>", "</b><i class=\"x\">y</i>", "regexp_replace(t, '</?[A-Za-z][^>]*>', '', 'g')"))
 def markup_tags(s, d):
-    return _md5(_marked(s, d, "<b>", '</b><i class="x">y</i>'), F.regexp_replace("t", "</?[A-Za-z][^>]*>", ""))
+    return _md5(_marked(s, d, "<b>", '</b><i class="x">y</i>'), T.strip_tags(F.col("t")))
 
 
 @case(_wrap("<gallery>a</gallery><graph x>b</graph> ", "<TIMELINE>c</TIMELINE>", "regexp_replace(regexp_replace(regexp_replace(t, '(?is)<timeline\\b[^>]*>.*?</timeline>', '', 'g'), '(?is)<gallery\\b[^>]*>.*?</gallery>', '', 'g'), '(?is)<graph\\b[^>]*>.*?</graph>', '', 'g')"))
@@ -780,6 +794,13 @@ def dump_read_back(s, d):
     return read_pages(s, _dump(s, d)).filter("ns = 0").agg(F.count("*").alias("pages"), F.countDistinct("page_id").alias("ids"))
 
 
+@case("SELECT count(DISTINCT Title) + 1 AS pages, count(DISTINCT Title) AS articles, 0::BIGINT AS redirects FROM wikidocs WHERE Doc IS NOT NULL AND Title IS NOT NULL")
+def dump_counts(s, d):
+    from ..sources.mediawiki import page_counts, page_index, read_pages
+
+    return page_counts(page_index(read_pages(s, _dump(s, d))))
+
+
 @case()
 def dump_rendered(s, d):
     from ..sources.mediawiki import read_pages, render_articles

@@ -9,7 +9,9 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..operators import snippet
 from ..wikitext import article, cleanup, expand, expr, magic, values
 
@@ -139,6 +141,30 @@ fixed(
 fixed("template_body_rules", [("X1", "x<onlyinclude>a</onlyinclude>b<onlyinclude>c</onlyinclude>", "ac"), ("X2", "x<noinclude>d</noinclude><includeonly>y</includeonly>", "xy"), ("X2", "x<noinclude>never closed", "x"), ("X3", "x<!-- c -->y", "xy"), ("X4", "x<gallery>g</gallery>y", "xy")], cleanup.template_body)
 fixed("title_rules", [("X7", "  foo_bar  baz ", "Foo bar baz"), ("X7", "éric", "Éric"), ("X7", "A", "A"), ("X7", "a  b", "A b"), ("X7", "", "")], expand.normalize_title)
 
+# column forms ---------------------------------------------------------------
+
+_COLUMNS: dict[str, Callable] = {
+    "comments": T.strip_comments, "refs": T.strip_refs, "extensions": T.strip_extensions, "breaks": T.breaks, "tags": T.strip_tags, "links": T.wiki_links, "external": T.external_links, "emphasis": T.emphasis, "headers": T.headers, "lists": T.list_markers, "switches": T.switches, "rules": T.rules,
+    "spaces": T.unicode_spaces, "blanks": T.collapse_blanks, "entities": T.html_unescape, "title": T.normalize_title, "number": T.formatnum, "padded": lambda c: T.pad_left(c, 3), "first": T.upper_first, "plain": T.plain_markup, "redirect": T.redirect_target, "anchor": T.anchor_encode, "url": T.url_encode, "rate": lambda c: T.format_rate(c.try_cast("double")),
+}
+_COLUMN_CASES = [
+    ("comments", "a<!-- c\nd -->b", "ab"), ("refs", "a<ref name=x /> b<ref>n</ref>", "a b"), ("extensions", "a<gallery x=1>g</gallery><graph y/> b", "a<graph y/> b"), ("extensions", "a<mapframe x />b<score>c</score>", "a<mapframe x />b"), ("breaks", "one<br/>two", "one\ntwo"), ("tags", "one</div>two <b>x</b>", "one two x"),
+    ("links", "see [[Foo|bar]] [[File:a.jpg|x]][[Baz]]", "see bar Baz"), ("external", "go [http://x.org label here] [//y.org]", "go label here "), ("emphasis", "'''Bold''' and ''it''", "Bold and it"), ("headers", "== Head ==", "\nHead\n"), ("lists", "* a\n## b", "a\nb"), ("switches", "__NOTOC__x __ab__", "x __ab__"), ("rules", "-----x", "\nx"),
+    ("spaces", "a b c", "a b c"), ("blanks", "a  b \n\n\n\n c", "a b\n\nc"), ("entities", "Tom &amp; &lt;x&gt; &#39;q&#39; &amp;lt;", "Tom & <x> 'q' &lt;"), ("title", "  foo_bar  baz ", "Foo bar baz"), ("number", "1234567.891", "1,234,567.891"), ("number", "-1234", "-1,234"), ("number", "50 million", "50 million"), ("padded", "7", "007"), ("first", "abc", "Abc"),
+    ("plain", "'''A''' [[b|c]]<ref>x</ref> d", "A c d"), ("redirect", "#REDIRECT [[A b]]", "A b"), ("anchor", "a b", "a_b"), ("url", "a b/c~", "a%20b%2Fc~"), ("rate", "2.5", "2.5/s"), ("rate", "0.5", "30.0/min"),
+]
+
+
+def column_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The column forms on fixed inputs; nothing but built-in functions in the plan."""
+    rows = spark.createDataFrame([(r, i) for r, i, _ in _COLUMN_CASES], "rule string, input string")
+    out = F.coalesce(*[F.when(F.col("rule") == name, make(F.col("input"))) for name, make in _COLUMNS.items()])
+    return rows.select("rule", "input", out.alias("output"))
+
+
+QUERIES["column_rules"] = column_rules
+SQL["column_rules"] = "SELECT * FROM (VALUES " + ", ".join(f"({literal(r)}, {literal(i)}, {literal(o)})" for r, i, o in _COLUMN_CASES) + ") v(rule, input, output)"
+
 # snippets ---------------------------------------------------------------------
 
 _LONG = "start " * 50 + "harbour museum " + "end " * 50

@@ -114,6 +114,13 @@ def test_build_resume_repair(spark, dump, tmp_path):
     assert api.build_vecs(spark, spark.table("t_docs"), "t_vecs", make, "hash", str(tmp_path)) == {"skipped": 3}
     with pytest.raises(ValueError, match="holds vectors"):
         api.build_vecs(spark, spark.table("t_docs"), "t_vecs", make, "other", str(tmp_path))
+    from folioforge.operators import build
+
+    changed = spark.createDataFrame([(4, "Twice", "new text", [[1.0] * 8])], "Id long, Title string, Doc string, Vec array<array<float>>")
+    before = {r.f for r in spark.table("t_vecs").filter("Id <> 4").selectExpr("input_file_name() as f").collect()}
+    assert build.update_bucketed(spark, "t_vecs", changed) == 1
+    assert {r.f for r in spark.table("t_vecs").filter("Id <> 4").selectExpr("input_file_name() as f").collect()} == before
+    assert {r.Id: r.Doc for r in spark.table("t_vecs").collect()}[4] == "new text" and spark.table("t_vecs").count() == 3
     page = api.keyword_search(spark.table("t_docs"), "firm")
     assert page["total"] == 1 and not page["next"]
     rows = api.hybrid_search(spark.table("t_vecs"), "firm", models.HashEmbedder(8), models.read_sidecar(str(tmp_path)))
