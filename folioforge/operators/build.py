@@ -78,7 +78,13 @@ def update_bucketed(spark: SparkSession, table: str, changes: DataFrame, key: st
     if touched:
         held = spark.table(table).filter(F.col("key_bucket").isin(touched))
         image = materialize(upsert(held, new.select(held.columns), key))
-        image.repartition("key_bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").insertInto(table)
+        mode = "spark.sql.sources.partitionOverwriteMode"
+        former = spark.conf.get(mode)
+        spark.conf.set(mode, "dynamic")  # else the folders without changes would go
+        try:
+            image.repartition("key_bucket").write.mode("overwrite").insertInto(table)
+        finally:
+            spark.conf.set(mode, former)
         release(image)
     release(new)
     return len(touched)
