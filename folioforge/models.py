@@ -158,16 +158,21 @@ def chunk_spans(doc: str, most: int = 200) -> list[tuple[int, int]]:
     spans: list[tuple[int, int]] = []
     first, end, held, at = 0, 0, 0, 0
     for stop in [*((m.start(), m.end()) for m in _SECTION.finditer(doc)), (len(doc), len(doc))]:
-        words = [(m.start(), m.end()) for m in _WORD.finditer(doc, at, stop[0])]
-        at = stop[1]
-        if held and held + len(words) > most:
+        section, begin, at = doc[at : stop[0]], at, stop[1]
+        n = len(section.split())
+        if held and held + n > most:
             spans.append((first, end))
             held = 0
-        while len(words) > most:
-            spans.append((words[0][0], words[most - 1][1]))
-            words = words[most:]
-        if words:
-            first, end, held = words[0][0] if not held else first, words[-1][1], held + len(words)
+        if n > most:
+            words = [(begin + m.start(), begin + m.end()) for m in _WORD.finditer(section)]
+            cuts = range(0, n - most, most)
+            spans += [(words[i][0], words[i + most - 1][1]) for i in cuts]
+            rest = len(cuts) * most
+            n, start = n - rest, words[rest][0]
+        else:
+            start = begin + len(section) - len(section.lstrip())
+        if n:
+            first, end, held = start if not held else first, begin + len(section.rstrip()), held + n
     if held:
         spans.append((first, end))
     return spans

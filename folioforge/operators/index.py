@@ -12,14 +12,15 @@ from . import keyword, vectors
 from .keyword import Query, SearchOptions
 from .tables import exists, materialize, spread
 
-TERM_BUCKETS = 256
+#: Folders of the postings: one for so many documents, at most TERM_BUCKETS.
+TERM_BUCKETS, DOCS_A_BUCKET = 256, 4_000
 #: Documents whose postings of one term go to one task of the build.
 DOCS_A_TASK = 4_000_000
 REGISTRY = "name string, kind string, figures string"
 
 
-def _term_bucket(term: str) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(TERM_BUCKETS)).cast("int")
+def _term_bucket(term: str, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
 def registry(spark: SparkSession, path: str) -> DataFrame:
@@ -58,11 +59,12 @@ def build_text_index(docs: DataFrame, path: str, id_col: str = "Id", text_col: s
     rows = spread(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter("text is not null"))
     toks = rows.select("doc_id", F.xxhash64("text").alias("rid"), T.tokens(F.col("text")).alias("toks")).withColumn("dl", F.size("toks").cast("long"))
     f = toks.select("doc_id", "rid", "dl").distinct().agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).first()
+    buckets = min(TERM_BUCKETS, max(1, -(-f["n"] // DOCS_A_BUCKET)))
     words = toks.select("doc_id", "rid", "dl", F.posexplode("toks").alias("pos", "term"))
-    posts = words.groupBy("term", "doc_id", "rid").agg(F.first("dl").alias("dl"), F.sort_array(F.collect_set("pos")).alias("places")).withColumn("bucket", _term_bucket("term"))
+    posts = words.groupBy("term", "doc_id", "rid").agg(F.first("dl").alias("dl"), F.sort_array(F.collect_set("pos")).alias("places")).withColumn("bucket", _term_bucket("term", buckets))
     salt = F.pmod(F.xxhash64("doc_id"), F.lit(max(1, -(-f["n"] // DOCS_A_TASK))))
     posts.repartition("bucket", salt).sortWithinPartitions("bucket", "term", "doc_id").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
-    _register(spark, path, "text", "postings", {"n": f["n"], "avgdl": f["avgdl"]})
+    _register(spark, path, "text", "postings", {"n": f["n"], "avgdl": f["avgdl"], "buckets": buckets})
     return True
 
 
@@ -76,7 +78,7 @@ def search_text_index(spark: SparkSession, path: str, query: Query, options: Sea
         return posts.limit(0).select("doc_id", F.lit(0.0).alias("score"))
     forms = keyword.word_forms(query, options)
     terms = list(dict.fromkeys(w for x in forms for w in x))
-    buckets = {r["b"] for r in spark.createDataFrame([(w,) for w in terms], "w string").select(_term_bucket("w").alias("b")).collect()}  # the query's own words
+    buckets = {r["b"] for r in spark.createDataFrame([(w,) for w in terms], "w string").select(_term_bucket("w", f["buckets"]).alias("b")).collect()}  # the query's own words
     hit = posts.filter(F.col("bucket").isin(*buckets) & F.col("term").isin(*terms))
     of = lambda x, c: F.when(F.col("term").isin(*x), c)
     figures = [c for i, x in enumerate(forms) for c in (F.coalesce(F.sum(of(x, F.size("places"))), F.lit(0)).alias(f"tf{i}"), F.min(of(x, F.element_at("places", 1))).alias(f"p{i}"))]

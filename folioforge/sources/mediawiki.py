@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators.build import follow
-from ..operators.tables import materialize, release, rows_at_most, spread
+from ..operators.tables import materialize, release, spread
 from ..wikitext import article, cleanup
 from ..wikitext.expand import normalize_title
 from ..wikitext.magic import clock_words, site_words
@@ -26,7 +26,7 @@ SITE = "sitename STRING, dbname STRING, base STRING, namespaces STRUCT<namespace
 #: Templates beyond this many bytes are joined to the articles that use them instead of broadcast.
 BROADCAST_BYTES = 64 << 20
 #: Keys of repeated pages beyond this number meet the pages by a join.
-BROADCAST_ROWS = 200_000
+BROADCAST_ROWS = 50_000
 _OPEN, _CLOSE = "<page>", "</page>"
 
 
@@ -197,10 +197,11 @@ def page_index(pages: DataFrame) -> DataFrame:
     pass without a shuffle of their texts.  ``pages`` is read twice, once for
     its keys.
     """
-    repeated = materialize(pages.groupBy("ns", "title").agg(F.count("*").alias("_c")).filter("_c > 1").select("ns", "title"))
-    if repeated.isEmpty():
+    repeated = pages.groupBy("ns", "title").agg(F.count("*").alias("_c")).filter("_c > 1").select("ns", "title")
+    some = repeated.limit(BROADCAST_ROWS + 1).collect()
+    if not some:
         return pages
-    few = F.broadcast(repeated) if rows_at_most(repeated, BROADCAST_ROWS) else repeated
+    few = F.broadcast(pages.sparkSession.createDataFrame(some, repeated.schema)) if len(some) <= BROADCAST_ROWS else materialize(repeated)
     order = Window.partitionBy("ns", "title").orderBy(F.desc("rev"), F.desc("page_id"))
     last = pages.join(few, ["ns", "title"], "left_semi").withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n")
     return pages.join(few, ["ns", "title"], "left_anti").select(pages.columns).unionByName(last.select(pages.columns))
@@ -223,7 +224,7 @@ def templates(pages: DataFrame) -> DataFrame:
     t = materialize(t.select("name", "wikitext", target.alias("target")).dropDuplicates(["name"]))
     bodies = t.filter("target is null").select("name", F.col("wikitext").alias("body"))
     moves = t.filter("target is not null").select(F.col("name").alias("source"), "target")
-    ends = follow(moves).join(bodies.withColumnRenamed("name", "final"), "final").select(F.col("source").alias("name"), "body")
+    ends = bodies.limit(0) if moves.isEmpty() else follow(moves).join(bodies.withColumnRenamed("name", "final"), "final").select(F.col("source").alias("name"), "body")
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
