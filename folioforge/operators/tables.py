@@ -41,6 +41,21 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+def scratch(spark: SparkSession) -> str:
+    """A fresh place in the shared folder, removed by :func:`discard`, :func:`release_all` or when the Python process ends."""
+    path = f"{shared_dir(spark)}/folioforge/{uuid.uuid4().hex}"
+    if not _written:
+        atexit.register(release_all)
+    _written[path] = spark
+    return path
+
+
+def discard(path: str | None) -> None:
+    """Remove a place of :func:`scratch` at once; other paths are left alone."""
+    if path in _written:
+        _remove(_written.pop(path), path)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` once and read it back.
 
@@ -49,11 +64,8 @@ def materialize(df: DataFrame) -> DataFrame:
     :func:`release`, :func:`release_all` or when the Python process ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/folioforge/{uuid.uuid4().hex}"
+    path = scratch(spark)
     df.write.mode("overwrite").option("compression", "zstd").parquet(path)
-    if not _written:
-        atexit.register(release_all)
-    _written[path] = spark
     out = spark.read.schema(df.schema).parquet(path)
     out._written_path = path
     return out
@@ -61,9 +73,7 @@ def materialize(df: DataFrame) -> DataFrame:
 
 def release(df: DataFrame) -> None:
     """Remove a table of :func:`materialize` that nothing reads any more; other frames are left alone."""
-    path = getattr(df, "_written_path", None)
-    if path in _written:
-        _remove(_written.pop(path), path)
+    discard(getattr(df, "_written_path", None))
 
 
 def release_all() -> None:

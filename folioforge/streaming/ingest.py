@@ -8,10 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.tables import exists, materialize, release
+from ..operators.tables import discard, exists, materialize, release, scratch
 
 KEY_BUCKETS = 64
 
+#: Keys that a stream remembers lie on the executors' disks, beside so many MB of memory for all of an executor; Spark's own choice holds every key in the heap.
+STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+    "spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows": "false",
+}
+
 
 def read_stream(spark: SparkSession, path: str, files_per_trigger: int = 1000) -> DataFrame:
     """Parquet files as a stream, schema taken from what is there."""
@@ -61,8 +69,32 @@ def deduplicated(stream: DataFrame, ts: str, keys: list[str], late: str = "10 mi
 
 
 def run_to_memory(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Run a stream over what is there and give the result as a table."""
+    """Run a stream over what is there and give the result, which the driver holds: for few rows, such as counts of windows."""
     q = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
     q.processAllAvailable()
     q.stop()
     return stream.sparkSession.table(name)
+
+
+def run_to_table(stream: DataFrame) -> DataFrame:
+    """Run a stream that only appends over what is there and give the result as a table of any size.
+
+    The executors write its rows to the shared folder, so none pass the driver,
+    and keep its state as ``STATE`` says where the session sets nothing else.
+    The table is removed as those of :func:`materialize` are.
+    """
+    spark = stream.sparkSession
+    rows, marks = scratch(spark), scratch(spark)
+    unset = [k for k in STATE if spark.conf.get(k, None) is None]
+    try:
+        for k in unset:
+            spark.conf.set(k, STATE[k])
+        q = stream.writeStream.format("parquet").option("path", rows).option("compression", "zstd").option("checkpointLocation", marks).trigger(availableNow=True).start()
+    finally:  # a stream keeps the settings it was started with
+        for k in unset:
+            spark.conf.unset(k)
+    q.awaitTermination()
+    discard(marks)
+    out = spark.read.schema(stream.schema).parquet(rows)
+    out._written_path = rows
+    return out
